@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.edit_counts import edited_counts
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import drop_templates
+from tessera.llm.minhash import minhash_components
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.sql import SQL
@@ -58,6 +59,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
         op7_exact_dedup,
         op8_line_dedup,
         op9_token_counts,
+        op10_minhash,
     )
 }
 

@@ -55,4 +55,41 @@ SELECT r.doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256
 FROM raw r JOIN kept k ON r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.text = k.text
 """
 
-SQL = {"op1_url_filter": URL_FILTER, "op7_exact_dedup": EXACT_DEDUP, "op8_line_dedup": LINE_DEDUP}
+REACH = """
+edges AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (SELECT DISTINCT x, x FROM edges UNION SELECT r.node, e.y FROM reach r JOIN edges e ON e.x = r.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+"""
+
+MINHASH = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM sh p JOIN sh q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+""" + REACH + """
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+       coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.node = w.doc_id
+"""
+
+COVER_TREE = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND len(p.e) = len(q.e)
+          WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+""" + REACH + """,
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM edges GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, v.vec_id) AS component_id,
+       coalesce(component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN comp ON comp.node = v.vec_id
+"""
+
+SQL = {
+    "op4_cover_tree": COVER_TREE,
+    "op10_minhash": MINHASH,
+    "op1_url_filter": URL_FILTER,
+    "op7_exact_dedup": EXACT_DEDUP,
+    "op8_line_dedup": LINE_DEDUP,
+}
