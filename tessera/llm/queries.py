@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.cover_tree import cosine_components
 from tessera.llm.edit_counts import edited_counts
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import drop_templates
@@ -38,6 +39,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("times")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_url_filter,
         op2_packing,
+        op4_cover_tree,
         op5_mixing,
         op6_token_files,
         op7_exact_dedup,
