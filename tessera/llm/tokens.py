@@ -40,8 +40,8 @@ class WordEncoder:
     """Encodes texts word by word where that is exact, and whole where it is not.
 
     Two kinds of file are known. In the one (`spaced`) a byte-level pre-tokenizer puts a
-    single space with the piece after it, so the ids of a text are those of its space-separated
-    words, each with its space, as long as no word is empty or begins or ends with white space. In the
+    single space with the piece after it, so the ids of a text are those of its words, each with
+    the space or newline before it, as long as no white space adjoins another. In the
     other white space is dropped, so words are always independent. Words of Latin letters go to
     the vocabulary's merges directly, other words through the whole encoder, and texts with
     unusual white space, or files of another kind, as whole texts.
@@ -53,6 +53,8 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are cached here
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -65,7 +67,7 @@ class WordEncoder:
         self.table = byte_alphabet()
         self.code = "I" if self.wide else "H"
         self.space = self.table[0x20]
-        self.simple = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+        self.simple = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -83,25 +85,29 @@ class WordEncoder:
         return self.marks[mark]
 
     def _new(self, word: str) -> bytes | None:
-        """The ids of a word with its leading space, or None where only the whole text tells."""
+        """The ids of a word with its leading space or newline, or None where only the whole text tells."""
         m = self.simple.fullmatch(word)
         if m and len(word) < 64:
             lead, stem, end = m.groups()
-            stem = stem.lower() if self.dropped else stem
-            shown = self._shown(stem)
-            if lead and self.spaced:
-                shown = self.space + shown
-            ids = self._pack([t.id for t in self.model.tokenize(shown)])
-            return ids + self._mark(end) if end else ids
-        body = word[1:] if word[:1] == " " else word
-        if self.spaced and (body == "" and word or body[:1].isspace() or body[-1:].isspace()):
-            return None
-        if "\n" in body:
-            lines = word.split("\n")
             if self.dropped:
-                return b"".join(self.of_words(lines))
-            if not any(x == "" or x[0].isspace() or x[-1].isspace() for x in [body.split("\n")[0], *lines[1:]]):
-                return self._mark("\n").join(self.of_words(lines))
+                plain = stem.lower()
+            else:
+                plain = stem if lead == "\n" else lead + stem
+            ids = None
+            if plain != word:
+                ids = self.young.get(plain) or self.old.get(plain)
+            if ids is None:
+                spaced = self.spaced and lead == " "
+                shown = self._shown(plain[1:] if spaced else plain)
+                ids = self._pack([t.id for t in self.model.tokenize(self.space + shown if spaced else shown)])
+                self.young[plain] = ids
+            if end:
+                ids += self._mark(end)
+            return self._mark("\n") + ids if self.spaced and lead == "\n" else ids
+        if self.spaced and word:
+            body = word[1:] if word[0] in " \n" else word
+            if body == "" or body[0].isspace() or body[-1].isspace():
+                return None
         return self._pack(self.tok.encode(word, add_special_tokens=False).ids)
 
     def of_words(self, words: Sequence[str]) -> list[bytes | None]:
@@ -130,7 +136,7 @@ class WordEncoder:
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        cut = data == 0x20
+        cut = (data == 0x20) | (data == 0x0A)
         cut[at[:-1][at[:-1] < len(data)]] = True
         begins = np.append(np.flatnonzero(cut), len(data))
         ends = np.searchsorted(begins, at)
@@ -161,7 +167,8 @@ class WordEncoder:
 
         Nulls count as empty. A run holds about SLICE_BYTES of text, and one text at least.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         if len(texts) == 0:
             return
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
