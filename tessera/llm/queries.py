@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.sql import SQL
 from tessera.llm.token_files import token_digests
+from tessera.llm.toxicity import score_toxicity
 from tessera.llm.url_filter import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(_table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_url_filter,
         op2_packing,
+        op3_toxicity,
         op4_cover_tree,
         op5_mixing,
         op6_token_files,
@@ -84,9 +91,12 @@ QUERIES: dict[str, Query] = {
 }
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in QUERIES}
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
