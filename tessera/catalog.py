@@ -1,0 +1,851 @@
+"""Queries over the driver's tables, one per operator, with their results in SQL where it can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import intent as rules
+from tessera.functions import paths, text
+from tessera.operators import chunking, context, dense, fusion, graph, lexical, policy
+from tessera.plans import evaluation, gate, pipeline, projection
+from tessera.plans.views import ASKED, RAW_LINKS, SEARCHES, body, links, literal, table, vault
+from tessera.sources.vault import changes, reuse_chunks
+from tessera.streaming.watch import bursts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------- SQL parts
+
+_VAULT = """
+vault0 AS (SELECT doc_id AS document_id, coalesce(text, '') AS text, 'Doc ' || doc_id AS title, doc_id * 1000 AS updated_at_ns,
+  CASE doc_id % 10 WHEN 0 THEN 'raw/papers/doc-' || doc_id || '.md' WHEN 1 THEN 'Clippings/ideas/doc-' || doc_id || '.md'
+    WHEN 2 THEN 'Clippings/doc-' || doc_id || '.md' WHEN 3 THEN 'wiki/index-' || doc_id || '.md'
+    WHEN 4 THEN 'wiki/projects/p' || ((doc_id // 10) % 7) || '/d' || doc_id || '/current-state.md'
+    WHEN 5 THEN 'wiki/projects/p' || ((doc_id // 10) % 7) || '/d' || doc_id || '/decisions.md'
+    WHEN 6 THEN 'wiki/projects/p' || ((doc_id // 10) % 7) || '/d' || doc_id || '/log.md'
+    WHEN 7 THEN 'wiki/projects/p' || ((doc_id // 10) % 7) || '/note-' || doc_id || '.md'
+    WHEN 8 THEN 'wiki/page-' || doc_id || '.md' ELSE 'ops/op-' || doc_id || '.md' END AS path FROM documents),
+vault AS (SELECT *,
+  CASE document_id % 10 WHEN 0 THEN 'raw' WHEN 1 THEN 'clipping' WHEN 2 THEN 'clipping' WHEN 9 THEN 'operational' ELSE 'wiki' END AS source_kind,
+  CASE document_id % 10 WHEN 0 THEN 'evidence' WHEN 1 THEN 'idea' WHEN 2 THEN 'evidence' WHEN 3 THEN 'route-map' WHEN 4 THEN 'current-state'
+    WHEN 5 THEN 'decision' WHEN 6 THEN 'log' WHEN 7 THEN 'project' WHEN 8 THEN 'durable' ELSE 'operational' END AS page_role,
+  CASE WHEN document_id % 10 BETWEEN 4 AND 7 THEN 'p' || ((document_id // 10) % 7) END AS project_id,
+  document_id % 10 = 3 AS is_route_map FROM vault0)"""
+
+_LINKS = """
+stems AS (SELECT document_id AS aim, lower(regexp_extract(path, '([^/]*)\\.md$', 1)) AS key FROM vault),
+links0 AS (SELECT document_id AS source, 0 AS k, (document_id * 7 + 3) % (SELECT count(*) FROM vault) AS aim FROM vault UNION ALL
+           SELECT document_id, 1, (document_id * 13 + 5) % (SELECT count(*) FROM vault) FROM vault),
+links AS (SELECT source * 2 + k AS link_id, source, key FROM links0 JOIN stems USING (aim)),
+folders AS (SELECT document_id, lower(regexp_replace(path, '/?[^/]*$', '')) AS folder, project_id FROM vault),
+resolved AS (SELECT l.link_id, l.source, l.key, (SELECT d.document_id FROM folders d JOIN stems t ON t.aim = d.document_id
+    WHERE t.key = l.key AND d.document_id <> l.source
+    ORDER BY CASE WHEN d.folder = s.folder THEN 0 ELSE 1 END, CASE WHEN d.project_id = s.project_id THEN 0 ELSE 1 END, d.document_id LIMIT 1) AS target
+  FROM links l JOIN folders s ON s.document_id = l.source)"""
+
+
+def _values(name: str, columns: tuple[str, ...], rows) -> str:
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"{name}({', '.join(columns)}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+def _terms_sql(column: str) -> str:
+    """A list expression of a query's terms."""
+    raw = rf"list_transform(regexp_extract_all({column}, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\-./+]*[\p{{L}}\p{{N}}_]|[\p{{L}}\p{{N}}_]'), lambda t: trim(t, '-./+'))"
+    kept = f"list_filter({raw}, lambda t: t <> '' AND lower(t) NOT IN ({_STOP}))"
+    return f"list_filter({kept}, lambda t, i: list_position(list_transform({kept}, lambda u: lower(u)), lower(t)) = i)"
+
+
+_ANALYSE = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
+_BM25 = f"""
+{_values("searches", ("query_id", "query"), SEARCHES)},
+terms AS (SELECT query_id, unnest({_terms_sql("query")}) AS term FROM searches),
+phrases AS (SELECT DISTINCT query_id, array_to_string({_ANALYSE.format("term")}, ' ') AS phrase, len({_ANALYSE.format("term")}) AS words
+            FROM terms WHERE len({_ANALYSE.format("term")}) > 0),
+cells AS (SELECT document_id AS id, 1.0 AS weight, {_ANALYSE.format("text")} AS t FROM vault UNION ALL
+          SELECT document_id, 4.0, {_ANALYSE.format("title")} FROM vault),
+runs AS (SELECT id, weight, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM
+  (SELECT id, weight, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM cells, (SELECT DISTINCT words AS n FROM phrases))),
+occ AS (SELECT id, phrase, sum(weight) AS f FROM runs WHERE phrase IN (SELECT phrase FROM phrases) GROUP BY id, phrase),
+lens AS (SELECT id, sum(len(t)) AS length FROM cells GROUP BY id),
+stats AS (SELECT count(*) AS n_rows, sum(length) / count(*) AS mean_length FROM lens),
+idf AS (SELECT phrase, greatest(ln((n_rows - n + 0.5) / (n + 0.5)), CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN 0 ELSE 1e-6 END) AS idf
+        FROM (SELECT phrase, count(*) AS n FROM occ GROUP BY phrase), stats),
+bm25 AS (SELECT query_id, id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
+         FROM occ JOIN idf USING (phrase) JOIN lens USING (id) JOIN phrases USING (phrase), stats GROUP BY query_id, id)"""
+
+_KNN = """
+qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 6),
+dist AS (SELECT query_id, vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), q) AS distance FROM embeddings, qv)"""
+
+_ANSWER = "source_kind = 'wiki' AND page_role NOT IN ('log', 'route-map')"
+_CHANNELS = f"""
+dn AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+       FROM dist JOIN vault ON document_id = id WHERE {_ANSWER} QUALIFY rank <= 50),
+lx AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
+       FROM bm25 JOIN vault ON document_id = id WHERE {_ANSWER} QUALIFY rank <= 50),
+un AS (SELECT query_id, id, rank FROM dn UNION ALL SELECT query_id, id, rank FROM lx),
+rrf AS (SELECT query_id, id, sum(1.0 / (20 + rank)) AS score, min(rank) AS best_rank FROM un GROUP BY query_id, id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, id) AS rank FROM rrf)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---------------------------------------------------------------- shared inputs
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 6").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    return literal(spark, SEARCHES, ("query_id", "query")).withColumn("query_id", F.col("query_id").cast("long")).join(vectors, "query_id", "left")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("id", F.col("document_id"))
+
+
+def _index(docs: DataFrame) -> DataFrame:
+    return lexical.index_tokens(_rows(docs), "id", {"text": 1.0, "title": 4.0})
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return literal(spark, ASKED, ("query_id", "query")).withColumn("query_id", F.col("query_id").cast("long"))
+
+
+_ASKED = _values("asked", ("query_id", "query"), ASKED)
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = vault(spark, sf_dir)
+    return docs, graph.resolve_links(links(docs), docs)
+
+
+# ---------------------------------------------------------------- sources and maintenance
+
+
+@query(f"WITH {_VAULT} SELECT path, list_has_any(string_split(path, '/'), ['raw', '.git']) OR regexp_full_match(path, 'ops/.*7\\.md') AS skipped FROM vault")
+def skip_predicate(spark, sf_dir):
+    return vault(spark, sf_dir).select("path", paths.skipped(F.col("path"), ("raw", ".git"), ("ops/*7.md",)).alias("skipped"))
+
+
+@query("SELECT doc_id AS document_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return vault(spark, sf_dir).select("document_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"WITH {_VAULT} SELECT sha256(string_agg(path || chr(9) || sha256(text) || chr(10), '' ORDER BY path || chr(9) || sha256(text))) AS fingerprint FROM vault")
+def corpus_fingerprint(spark, sf_dir):
+    return evaluation.corpus_fingerprint(vault(spark, sf_dir).withColumn("content_hash", F.sha2("text", 256)))
+
+
+def _snapshots(spark, sf_dir):
+    docs = vault(spark, sf_dir).select("path", "document_id", F.sha2("text", 256).alias("content_hash"), F.col("updated_at_ns").alias("mtime_ns"))
+    old = docs.where("document_id % 11 <> 0").drop("document_id")
+    i = F.col("document_id")
+    new = docs.where("document_id % 13 <> 0").select(
+        "path", F.when(i % 17 == 0, F.sha2(F.concat("content_hash", F.lit("x")), 256)).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(i % 19 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")).alias("mtime_ns"),
+    )
+    return old, new
+
+
+@query(f"""WITH {_VAULT} SELECT path, CASE WHEN document_id % 11 = 0 THEN 'added' WHEN document_id % 13 = 0 THEN 'removed'
+  WHEN document_id % 17 = 0 OR document_id % 19 = 0 THEN 'updated' ELSE 'skipped' END AS change FROM vault
+  WHERE NOT (document_id % 11 = 0 AND document_id % 13 = 0)""")
+def change_diff(spark, sf_dir):
+    return changes(*_snapshots(spark, sf_dir))
+
+
+@query(f"""WITH {_VAULT} SELECT path, CASE WHEN document_id % 13 = 0 THEN NULL WHEN document_id % 17 = 0 THEN sha256(sha256(text) || 'x') ELSE sha256(text) END AS content_hash
+  FROM vault WHERE document_id % 13 <> 0 UNION ALL SELECT path, sha256(text) FROM vault WHERE document_id % 13 = 0 AND document_id % 11 <> 0""")
+def document_upsert(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return projection.upsert(old, new, "path").select("path", "content_hash")
+
+
+_OLD_CHUNKS = """
+base AS (SELECT doc_id AS document_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+old AS (SELECT document_id, n * 10 AS chunk_id, line AS input FROM base WHERE n % 5 <> 0),
+new AS (SELECT document_id, n AS position, line AS input FROM base)"""
+
+
+@query(f"""WITH {_OLD_CHUNKS},
+a AS (SELECT *, row_number() OVER (PARTITION BY document_id, input ORDER BY chunk_id DESC) AS t FROM old),
+b AS (SELECT *, row_number() OVER (PARTITION BY document_id, input ORDER BY position) AS t FROM new)
+SELECT b.document_id, b.position, a.chunk_id FROM b LEFT JOIN a ON a.document_id = b.document_id AND a.input = b.input AND a.t = b.t""")
+def chunk_reuse(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "input"))
+    lines = lines.withColumn("n", (F.col("p") + 1).cast("long"))
+    old = lines.where("n % 5 <> 0").select("document_id", (F.col("n") * 10).alias("chunk_id"), "input")
+    return reuse_chunks(old, lines.select("document_id", F.col("n").alias("position"), "input")).select("document_id", "position", "chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return projection.missing_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), vectors)
+
+
+@query("""SELECT min('model-' || (label % 2)) AS low, max('model-' || (label % 2)) AS high,
+  min('model-' || (label % 2)) <> 'model-0' OR max('model-' || (label % 2)) <> 'model-0' AS stale FROM embeddings""")
+def needs_reembed(spark, sf_dir):
+    tag = F.concat(F.lit("model-"), (F.col("label") % 2).cast("string"))
+    low, high = F.min(tag), F.max(tag)
+    return table(spark, sf_dir, "embeddings").agg(low.alias("low"), high.alias("high"), ((low != "model-0") | (high != "model-0")).alias("stale"))
+
+
+@query(f"""WITH {_VAULT}, {_LINKS} SELECT 0::BIGINT AS orphan_chunks, 0::BIGINT AS documents_without_chunks,
+  (SELECT count(*) FROM vault WHERE document_id NOT IN (SELECT vec_id FROM embeddings)) AS chunks_without_vector,
+  (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT document_id FROM vault)) AS orphan_vectors,
+  (SELECT count(*) FROM embeddings WHERE len(embedding) <> 64) AS wrong_dimension, 0::BIGINT AS duplicate_positions, 0::BIGINT AS duplicate_paths,
+  0::BIGINT AS dangling_links, (SELECT count(*) FROM vault WHERE document_id NOT IN (SELECT vec_id FROM embeddings))
+  + (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT document_id FROM vault)) = 0 AS ok""")
+def integrity_report(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    chunks = docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.lit(0).alias("position"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return projection.integrity(docs, chunks, vectors, resolved, 64)
+
+
+@query(f"""WITH {_VAULT}, {_LINKS} SELECT 'documents' AS name, count(*) AS n FROM vault UNION ALL SELECT 'links', count(*) FROM resolved
+  UNION ALL SELECT 'resolved', count(*) FROM resolved WHERE target IS NOT NULL UNION ALL SELECT 'vectors', count(*) FROM embeddings""")
+def status_summary(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    return projection.summary({"documents": docs, "links": resolved, "resolved": resolved.where("target is not null"), "vectors": table(spark, sf_dir, "embeddings")})
+
+
+# ---------------------------------------------------------------- parsing and text
+
+
+@query("""SELECT doc_id AS document_id, 'Part ' || doc_id || '|Deep' AS names, '2|3' AS levels FROM documents""")
+def heading_outline(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("## Part "), n, F.lit(" ##\n```\n# no\n```\ntext\n### Deep\n#no"))
+    out = text.heading_outline(made)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.array_join(F.transform(out, lambda x: x["text"]), "|").alias("names"),
+        F.array_join(F.transform(out, lambda x: x["level"].cast("string")), "|").alias("levels"),
+    )
+
+
+@query(r"""SELECT doc_id AS document_id, array_to_string(list_distinct(list_sort(list_transform(regexp_extract_all(text, '(?:^|\s)#([A-Za-z0-9_\-][A-Za-z0-9_/\-]*)', 1), lambda t: lower(t)))), ',') AS tags FROM documents
+  WHERE text LIKE '%#%'""".replace("list_distinct(list_sort(", "list_sort(list_distinct("))
+def body_tags(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").contains("#"))
+    return docs.select(F.col("doc_id").alias("document_id"), F.array_join(F.array_sort(text.body_tags(F.col("text"))), ",").alias("tags"))
+
+
+@query(r"""SELECT page_id, regexp_extract_all(replace(replace(html, '<', '[['), '>', ']]'), '\[\[([^\[\]\n]+?)\]\]', 1) AS x FROM pages""".replace(
+    "regexp_extract_all", "len(list_distinct(list_filter(list_transform(regexp_extract_all").replace("1) AS x", "1), lambda t: trim(t)), lambda t: t <> ''))) AS n_targets"))
+def wikilinks(spark, sf_dir):
+    marked = F.replace(F.replace("html", F.lit("<"), F.lit("[[")), F.lit(">"), F.lit("]]"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(text.wikilinks(marked)).cast("long").alias("n_targets"))
+
+
+@query(f"WITH {_VAULT} SELECT document_id, source_kind, page_role, project_id, is_route_map FROM vault")
+def classify_path(spark, sf_dir):
+    return vault(spark, sf_dir).select("document_id", "source_kind", "page_role", "project_id", "is_route_map")
+
+
+@query(f"""WITH {_values("raw", ("n", "link"), RAW_LINKS)}, t AS (SELECT n, link, trim(regexp_replace(trim(split_part(split_part(link, '|', 1), '#', 1)), '\\.md$', ''), '/') AS p FROM raw)
+  SELECT n, lower(string_split(p, '/')[-1]) AS key, CASE WHEN contains(p, '/') THEN lower(p) END AS hint FROM t""")
+def normalise_link(spark, sf_dir):
+    rows = literal(spark, RAW_LINKS, ("n", "link")).withColumn("t", paths.link_target(F.col("link")))
+    return rows.select("n", "t.key", "t.hint")
+
+
+@query(f"WITH {_ASKED} SELECT query_id::BIGINT AS query_id, array_to_string(list_transform({_terms_sql('query')}, lambda t: '\"' || t || '\"'), ' OR ') AS match FROM asked")
+def tokenize_query(spark, sf_dir):
+    return _asked(spark).select("query_id", text.match_expression(F.col("query")).alias("match"))
+
+
+@query(f"WITH {_ASKED} SELECT query_id::BIGINT AS query_id, len({_terms_sql('query')})::BIGINT AS terms FROM asked")
+def informative_terms(spark, sf_dir):
+    return _asked(spark).select("query_id", text.informative_terms(F.col("query")).cast("long").alias("terms"))
+
+
+def _intent_sql(column: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches(lower(trim({column})), '{cues.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, cues in rules.INTENT_CUES.items())
+    return f"CASE {cases} ELSE 'general' END"
+
+
+@query(f"WITH {_ASKED} SELECT query_id::BIGINT AS query_id, {_intent_sql('query')} AS intent FROM asked")
+def detect_intent(spark, sf_dir):
+    return _asked(spark).select("query_id", rules.intent(F.col("query")).alias("intent"))
+
+
+def _route_sql() -> str:
+    has = lambda p: f"regexp_matches(q, '(?i){p.replace(chr(39), chr(39) * 2)}')"
+    words = ", ".join(f"'{w}'" for w in rules.QUESTION_WORDS)
+    reason = (
+        f"CASE WHEN q = '' THEN 'empty' WHEN {has(rules.GREETING)} THEN 'greeting-or-ack' WHEN contains(q, '```') THEN 'contains-code-block' "
+        f"WHEN length(q) > 2000 THEN 'too-long' WHEN terms < 2 THEN 'too-few-terms' WHEN {has(rules.HISTORY)} OR intent = 'chronology' THEN 'chronology-cue' "
+        f"WHEN {has(rules.EVIDENCE)} OR intent = 'evidence' THEN 'evidence-cue' WHEN project <> '' THEN 'project-cue:' || project "
+        f"WHEN {has(rules.EXPLICIT)} THEN 'explicit-wiki-reference' WHEN {has(rules.COMMAND)} THEN 'imperative-command' "
+        f"WHEN ends_with(q, '?') OR trim(string_split(lower(q), ' ')[1], '?,.!') IN ({words}) OR intent <> 'general' THEN 'question-like' "
+        "WHEN terms >= 6 THEN 'long-informative-statement' ELSE 'no-retrieval-cue' END"
+    )
+    return (
+        f"WITH {_ASKED}, a AS (SELECT query_id, trim(query) AS q, {_intent_sql('query')} AS intent, len({_terms_sql('query')}) AS terms, "
+        f"regexp_extract(query, '(?i){rules.PROJECT}', 1) AS project FROM asked), b AS (SELECT *, {reason} AS reason FROM a) "
+        "SELECT query_id::BIGINT AS query_id, intent, reason, reason IN ('chronology-cue', 'evidence-cue', 'explicit-wiki-reference', 'question-like', "
+        "'long-informative-statement') OR starts_with(reason, 'project-cue') AS retrieve, CASE WHEN reason = 'chronology-cue' THEN 'history' "
+        "WHEN reason = 'evidence-cue' THEN 'evidence' WHEN starts_with(reason, 'project-cue') THEN 'project:' || project ELSE 'answer' END AS profile FROM b"
+    )
+
+
+@query(_route_sql())
+def route_query(spark, sf_dir):
+    return _asked(spark).withColumn("r", rules.route(F.col("query"))).select("query_id", "r.intent", "r.reason", "r.retrieve", "r.profile")
+
+
+@query(f"""WITH r AS ({_route_sql()}) SELECT reason, count(*) AS n, count(*) FILTER (WHERE retrieve) AS retrieved FROM r GROUP BY reason""")
+def routing_report(spark, sf_dir):
+    rows = _asked(spark).withColumn("r", rules.route(F.col("query")))
+    return rows.groupBy("r.reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("r.retrieve").alias("retrieved"))
+
+
+@query(None)
+def decompose_query(spark, sf_dir):
+    return _asked(spark).select("query_id", rules.decompose(F.col("query")).alias("parts"))
+
+
+@query("""SELECT doc_id AS document_id, sha256('Title: Doc ' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Heading: A > ' || doc_id || chr(10) ELSE '' END
+  || 'Tags: ' || lang || ', ' || source || chr(10) || chr(10) || coalesce(text, '')) AS input FROM documents""")
+def embedding_input(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    none = F.array().cast("array<string>")
+    made = text.embedding_input(
+        F.concat(F.lit("Doc "), n), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("A"), n)).otherwise(none), none, F.array("lang", "source"), F.coalesce("text", F.lit(""))
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.sha2(made, 256).alias("input"))
+
+
+@query(f"WITH {_ASKED} SELECT query_id::BIGINT AS query_id, 'Represent this sentence for searching relevant passages: ' || trim(query) AS input FROM asked")
+def query_input(spark, sf_dir):
+    return _asked(spark).select("query_id", text.query_input(F.col("query")).alias("input"))
+
+
+@query("SELECT doc_id AS document_id, ceil(length(text) / 4)::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id AS document_id, source, CASE WHEN mx > mn THEN (n_chars - mn) / (mx - mn) ELSE 0.0 END AS scaled FROM (SELECT *, min(n_chars) OVER (PARTITION BY source) AS mn, max(n_chars) OVER (PARTITION BY source) AS mx FROM documents)")
+def minmax_normalise(spark, sf_dir):
+    return fusion.min_max(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id"), "n_chars", "scaled", "source").select("document_id", "source", "scaled")
+
+
+@query("""WITH t AS (SELECT doc_id, text, CASE WHEN contains(text[1:400], chr(10)) THEN 400 - strpos(reverse(text[1:400]), chr(10)) ELSE -1 END AS nl,
+  CASE WHEN contains(text[1:400], ' ') THEN 400 - strpos(reverse(text[1:400]), ' ') ELSE -1 END AS sp FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id AS document_id, sha256(CASE WHEN length(text) <= 400 THEN text ELSE rtrim(text[1:CASE WHEN nl >= 200 THEN nl WHEN sp >= 200 THEN sp ELSE 400 END]) || ' …' END) AS cut FROM t""")
+def truncate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.sha2(text.truncate(F.col("text"), F.lit(100)), 256).alias("cut"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id, 0 AS n, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS rest, CAST(NULL AS VARCHAR) AS piece FROM documents UNION ALL
+  SELECT doc_id, n + 1, CASE WHEN cut > 0 THEN ltrim(rest[cut + 1:], ' ' || chr(10)) ELSE '' END, CASE WHEN cut > 0 THEN rtrim(rest[1:cut], ' ' || chr(10)) ELSE rest END
+  FROM (SELECT doc_id, n, rest, CASE WHEN length(rest) <= 2000 THEN 0 ELSE 2002 - strpos(reverse(rest[1:2002]), chr(10) || chr(10)) - 1 END * CASE WHEN length(rest) > 2000 AND NOT contains(rest[1:2002], chr(10) || chr(10)) THEN 0 ELSE 1 END AS cut FROM t WHERE rest <> ''))
+  SELECT doc_id AS document_id, n - 1 AS position, sha256(piece) AS text_hash FROM t WHERE piece IS NOT NULL""")
+def oversize_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")).alias("body"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(d, i, p) for d, b in zip(pdf["document_id"], pdf["body"], strict=True) for i, p in enumerate(chunking.split_oversized(b, 2000))]
+            yield pd.DataFrame(rows, columns=["document_id", "position", "piece"])
+
+    return docs.mapInPandas(run, "document_id long, position int, piece string").select("document_id", "position", F.sha2("piece", 256).alias("text_hash"))
+
+
+@query(None)
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk_documents(vault(spark, sf_dir).withColumn("body", body())).drop("text")
+
+
+# ---------------------------------------------------------------- filters and joins
+
+
+def _profile(name: str, sql: str) -> None:
+    def f(spark, sf_dir, name=name):
+        return vault(spark, sf_dir).where(paths.in_profile(name)).select("document_id", "path")
+
+    f.__name__ = "profile_filter_" + name.partition(":")[0]
+    query(f"WITH {_VAULT} SELECT document_id, path FROM vault WHERE {sql}")(f)
+
+
+_profile("answer", _ANSWER)
+_profile("evidence", "source_kind IN ('raw', 'clipping')")
+_profile("history", "source_kind = 'wiki' AND page_role = 'log'")
+_profile("current", "source_kind = 'wiki' AND page_role = 'current-state'")
+_profile("project:p3", f"project_id = 'p3' AND {_ANSWER}")
+_profile("all", "true")
+
+
+@query(f"WITH {_VAULT} SELECT document_id FROM vault WHERE updated_at_ns BETWEEN 100000 AND 600000")
+def date_filter(spark, sf_dir):
+    return vault(spark, sf_dir).where(paths.updated_between(100_000, 600_000)).select("document_id")
+
+
+@query(f"WITH {_VAULT} SELECT vec_id AS id, path, title, label FROM embeddings JOIN vault ON document_id = vec_id WHERE label = 3")
+def hydrate_join(spark, sf_dir):
+    few = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), "label")
+    return _rows(vault(spark, sf_dir)).join(few, "id").select("id", "path", "title", "label")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(f"WITH {_KNN} SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dist QUALIFY rank <= 10")
+def knn_l2(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense.knn(vectors, asked, 10)
+
+
+@query(f"WITH {_VAULT}, {_KNN}, {_BM25}, {_CHANNELS} SELECT query_id, id, distance, rank::INT AS rank FROM dn")
+def dense_channel(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    return pipeline.dense_channel(table(spark, sf_dir, "embeddings"), _questions(spark, sf_dir).where("vector is not null").select("query_id", "vector"), _rows(docs), "answer", 50)
+
+
+@query(f"WITH {_VAULT}, {_BM25} SELECT query_id::BIGINT AS query_id, id, score FROM bm25")
+def bm25_search(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    return lexical.bm25(_index(docs), lexical.query_phrases(_questions(spark, sf_dir)))
+
+
+@query(f"WITH {_VAULT}, {_KNN}, {_BM25}, {_CHANNELS} SELECT query_id::BIGINT AS query_id, id, score, rank::INT AS rank FROM lx")
+def lexical_channel(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    found = pipeline.lexical_channel(_index(docs), _questions(spark, sf_dir), _rows(docs), "answer", 10_000)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 50")
+
+
+def _channels(spark, sf_dir):
+    return {"dense": (dense_channel(spark, sf_dir), 1.0), "lexical": (lexical_channel(spark, sf_dir), 1.0)}
+
+
+@query(f"WITH {_VAULT}, {_KNN}, {_BM25}, {_CHANNELS} SELECT query_id::BIGINT AS query_id, id, score, best_rank::INT AS best_rank, rank::INT AS rank FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return fusion.reciprocal_rank_fusion(_channels(spark, sf_dir), 20)
+
+
+@query("""WITH r AS (SELECT label AS query_id, vec_id, vec_id % 7 AS document_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS t FROM r QUALIFY t <= 3)
+  SELECT query_id, vec_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank FROM k""")
+def diversify(spark, sf_dir):
+    order = Window.partitionBy("query_id").orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), "vec_id", (F.col("vec_id") % 7).alias("document_id"))
+    return fusion.diversify(rows.withColumn("rank", F.row_number().over(order)), 3)
+
+
+def _policy_input(spark, sf_dir, profile="answer"):
+    docs = vault(spark, sf_dir).where("document_id < 60").withColumn("k", F.explode(F.array(*map(F.lit, range(5)))))
+    names = F.array(*map(F.lit, ("current-state", "decision", "chronology", "evidence", "general")))
+    order = Window.partitionBy("query_id").orderBy((F.col("document_id") * 37) % 61)
+    return docs.select("*", F.col("k").alias("query_id"), F.element_at(names, F.col("k") + 1).alias("intent"), F.lit(profile).alias("profile")).withColumn("rank", F.row_number().over(order))
+
+
+_POLICY = f"""{_VAULT}, {_values("intents", ("query_id", "intent"), list(enumerate(("current-state", "decision", "chronology", "evidence", "general"))))},
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (document_id * 37) % 61) AS old_rank,
+  CASE WHEN source_kind IN ('raw', 'clipping') THEN CASE WHEN page_role = 'idea' THEN 'idea' ELSE 'evidence' END WHEN page_role = 'route-map' THEN 'route-map'
+    WHEN page_role IN ('current-state', 'decision', 'log', 'project') THEN page_role ELSE 'durable' END AS authority_class FROM vault, intents WHERE document_id < 60),
+tiered AS (SELECT *, CASE intent
+  WHEN 'current-state' THEN CASE WHEN authority_class = 'current-state' THEN 0 WHEN authority_class IN ('idea', 'route-map') THEN 2 ELSE 1 END
+  WHEN 'decision' THEN CASE WHEN authority_class = 'decision' THEN 0 WHEN authority_class IN ('idea', 'route-map') THEN 2 ELSE 1 END
+  WHEN 'chronology' THEN CASE WHEN authority_class = 'log' THEN 0 WHEN authority_class IN ('idea', 'route-map') THEN 2 ELSE 1 END
+  WHEN 'evidence' THEN CASE WHEN authority_class = 'evidence' THEN 0 WHEN authority_class = 'route-map' THEN 2 ELSE 1 END
+  ELSE CASE WHEN authority_class IN ('durable', 'project', 'current-state', 'decision') THEN 0 WHEN authority_class IN ('log', 'evidence') THEN 1 ELSE 2 END END AS tier FROM cand),
+placed AS (SELECT *, tier = 0 AS authority_match, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN tier = 0 AND old_rank > 20 THEN 1 ELSE tier END, old_rank) AS rank FROM tiered)"""
+
+
+@query(f"WITH {_POLICY} SELECT query_id, document_id, authority_class, authority_match, old_rank::INT AS old_rank, rank::INT AS rank FROM placed")
+def authority_policy(spark, sf_dir):
+    return policy.authority_policy(_policy_input(spark, sf_dir)).select("query_id", "document_id", "authority_class", "authority_match", "old_rank", "rank")
+
+
+@query(f"""WITH {_POLICY}, head AS (SELECT * FROM placed WHERE rank <= 10 AND project_id IS NOT NULL),
+  cs AS (SELECT query_id, project_id, arg_max(path, rank) AS cs_path, arg_max(updated_at_ns, rank) AS cs_at FROM head WHERE page_role = 'current-state' GROUP BY ALL)
+  SELECT query_id, 'competing-projects: ' || string_agg(DISTINCT project_id, ', ' ORDER BY project_id) AS label FROM head GROUP BY query_id HAVING count(DISTINCT project_id) > 1
+  UNION SELECT query_id, 'older-than-current-state: ' || path || ' predates ' || cs_path FROM head JOIN cs USING (query_id, project_id)
+  WHERE page_role <> 'current-state' AND updated_at_ns <> 0 AND cs_at <> 0 AND updated_at_ns < cs_at""")
+def conflict_labels(spark, sf_dir):
+    return policy.conflict_labels(policy.authority_policy(_policy_input(spark, sf_dir))).select("query_id", "label")
+
+
+@query(f"""WITH {_POLICY} SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN intent = 'current-state' AND NOT authority_match THEN 1 ELSE 0 END,
+  CASE WHEN intent = 'current-state' AND authority_match THEN -updated_at_ns ELSE 0 END, rank)::INT AS rank FROM placed""")
+def recency_reorder(spark, sf_dir):
+    return policy.recency(policy.authority_policy(_policy_input(spark, sf_dir))).select("query_id", "document_id", "rank")
+
+
+def _search(spark, sf_dir, **kw):
+    docs = vault(spark, sf_dir)
+    return pipeline.search(_questions(spark, sf_dir), _rows(docs), table(spark, sf_dir, "embeddings"), **kw)
+
+
+@query(f"""WITH {_VAULT}, {_KNN}, {_BM25}, {_CHANNELS},
+c AS (SELECT f.query_id, f.id, f.score, f.rank AS old_rank, {_intent_sql("query")} AS intent, CASE WHEN page_role IN ('current-state', 'decision', 'project') THEN page_role ELSE 'durable' END AS class
+      FROM fused f JOIN vault ON document_id = id JOIN searches s ON s.query_id = f.query_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN class = intent OR intent NOT IN ('current-state', 'decision', 'chronology', 'evidence')
+      THEN CASE WHEN old_rank > 20 THEN 1 ELSE 0 END ELSE 1 END, old_rank) AS rank FROM c)
+SELECT query_id::BIGINT AS query_id, id, score, class AS authority_class, rank::INT AS rank FROM p WHERE rank <= 10""")
+def hybrid_pipeline(spark, sf_dir):
+    return _search(spark, sf_dir).select("query_id", "id", "score", "authority_class", "rank")
+
+
+@query(None)
+def graph_channel(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    return _search(spark, sf_dir, links=resolved).select("query_id", "id", "score", "rank")
+
+
+@query(None)
+def multiquery_fuse(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    index = _index(docs)
+    return pipeline.fuse_parts(_asked(spark), lambda q: lexical.top_k(lexical.bm25(index, lexical.query_phrases(q)), 20, F.col("score").desc()))
+
+
+@query(None)
+def context_block(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    few = _search(spark, sf_dir).select("query_id", "rank", "id", "authority_class")
+    rows = few.join(_rows(docs), "id").select(
+        "query_id", "rank", "document_id", F.col("id").alias("chunk_id"), F.lit(0).alias("position"), "path", "title", F.array("title").alias("heading_path"),
+        F.lit("").alias("section_name"), F.left("text", F.lit(2000)).alias("text"), "source_kind", "page_role", "authority_class",
+    )
+    return context.build_context(rows)
+
+
+# ---------------------------------------------------------------- graph
+
+
+@query(f"WITH {_VAULT}, {_LINKS} SELECT aim AS document_id, key FROM stems")
+def link_keys(spark, sf_dir):
+    return graph.link_keys(vault(spark, sf_dir))
+
+
+@query(f"WITH {_VAULT}, {_LINKS} SELECT link_id, target FROM resolved")
+def resolve_links(spark, sf_dir):
+    return _resolved(spark, sf_dir)[1].select("link_id", "target")
+
+
+_NEAR = """seeds(query_id, document_id) AS (VALUES (0, 4), (0, 15), (1, 8), (2, 47)),
+steps AS (SELECT DISTINCT source AS a, target AS b, 0 AS way FROM resolved WHERE target IS NOT NULL UNION ALL SELECT DISTINCT target, source, 1 FROM resolved WHERE target IS NOT NULL),
+r1 AS (SELECT query_id, b, min(way) AS way FROM seeds JOIN steps ON a = document_id WHERE (query_id, b) NOT IN (SELECT (query_id, document_id) FROM seeds) GROUP BY 1, 2),
+h1 AS (SELECT query_id, b AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY way, b) AS turn FROM r1 QUALIFY turn <= 30)"""
+
+
+def _seeds(spark):
+    return literal(spark, ((0, 4), (0, 15), (1, 8), (2, 47)), ("query_id", "document_id"))
+
+
+@query(f"WITH {_VAULT}, {_LINKS}, {_NEAR} SELECT query_id, document_id, 1 AS hop, turn::INT AS turn FROM h1")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(_resolved(spark, sf_dir)[1], _seeds(spark), 1, 30).select("query_id", F.col("document_id").cast("long"), "hop", F.col("turn").cast("int").alias("turn"))
+
+
+@query(f"""WITH {_VAULT}, {_LINKS}, own AS (SELECT document_id FROM vault WHERE project_id = 'p3' AND {_ANSWER}),
+far AS (SELECT DISTINCT target AS d FROM resolved WHERE source IN (SELECT document_id FROM own) AND target IS NOT NULL AND target NOT IN (SELECT document_id FROM own) ORDER BY target LIMIT 40)
+SELECT document_id FROM own UNION SELECT d FROM far JOIN vault ON document_id = d WHERE {_ANSWER}""")
+def project_scope(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    return graph.project_scope(docs, resolved, "p3")
+
+
+_MENTION = f"""
+mk0 AS (SELECT DISTINCT document_id, unnest([title, replace(key, '-', ' ')]) AS phrase FROM vault JOIN stems ON aim = document_id WHERE {_ANSWER}),
+mk AS (SELECT DISTINCT document_id, lower(trim(phrase)) AS phrase FROM mk0 WHERE length(trim(phrase)) >= 5 AND lower(trim(phrase)) NOT IN ({", ".join(f"'{w}'" for w in graph.GENERIC_KEYS)})
+       AND NOT (len({_terms_sql("trim(phrase)")}) = 0) AND NOT (len({_terms_sql("trim(phrase)")}) = 1 AND length(trim(phrase)) < 8))"""
+
+
+@query(f"WITH {_VAULT}, {_LINKS}, {_MENTION} SELECT document_id, phrase FROM mk")
+def mention_keys(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    return graph.mention_keys(docs, graph.link_keys(docs))
+
+
+def _mentions(spark, sf_dir):
+    """Chunks are lines of documents here, each with a reference that names another document's title."""
+    docs = vault(spark, sf_dir)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    named = docs.crossJoin(F.broadcast(n)).select(F.col("document_id").alias("id"), F.concat(F.lit("see doc "), ((F.col("document_id") * 3 + 1) % F.col("n")).cast("string"), F.lit(" and current state")).alias("text"))
+    keys = graph.mention_keys(docs, graph.link_keys(docs))
+    words = keys.select("document_id", text.tokens(F.col("phrase")).alias("t")).select("document_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("words"))
+    found = lexical.occurrences(lexical.index_tokens(named, "id", {"text": 1.0}), words)
+    return docs, graph.mentions(found, words.distinct(), docs.select(F.col("document_id").alias("id"), F.col("document_id").alias("owner_id")))
+
+
+_FOUND = f"""{_MENTION},
+mp AS (SELECT DISTINCT document_id, array_to_string({_ANALYSE.format("phrase")}, ' ') AS phrase FROM mk),
+said AS (SELECT document_id AS id, ' see doc ' || ((document_id * 3 + 1) % (SELECT count(*) FROM vault)) || ' and current state ' AS t FROM vault),
+hits AS (SELECT id, document_id, phrase, row_number() OVER (PARTITION BY document_id, phrase ORDER BY id) AS turn
+         FROM said JOIN mp ON contains(t, ' ' || phrase || ' ') AND id <> document_id QUALIFY turn <= 400),
+few AS (SELECT document_id, phrase FROM hits GROUP BY ALL HAVING count(DISTINCT id) <= 40),
+ment AS (SELECT DISTINCT id AS chunk_id, document_id FROM hits JOIN few USING (document_id, phrase))"""
+
+
+@query(f"WITH {_VAULT}, {_LINKS}, {_FOUND} SELECT chunk_id, document_id FROM ment")
+def mentions(spark, sf_dir):
+    return _mentions(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_VAULT}, {_LINKS}, e AS (SELECT source AS a, target AS b FROM resolved WHERE target <> source AND source % 10 <> 3 AND target % 10 <> 3)
+SELECT a, b FROM e UNION SELECT b, a FROM e""")
+def community_graph(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    return graph.community_edges(resolved, docs)
+
+
+@query(None)
+def label_propagation(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    return graph.communities(resolved, docs)
+
+
+@query(f"""WITH {_VAULT}, {_LINKS}, {_FOUND}, seeds(seed) AS (VALUES (4), (15), (28)),
+com AS (SELECT document_id, document_id % 97 AS community_id FROM vault),
+same AS (SELECT seed, c.document_id FROM seeds JOIN com s ON s.document_id = seed JOIN com c ON c.community_id = s.community_id AND c.document_id <> seed
+         QUALIFY row_number() OVER (PARTITION BY seed ORDER BY c.document_id) <= 200),
+w AS (SELECT seed, target AS d, 3 AS w, 'links-to' AS r FROM seeds JOIN resolved ON source = seed WHERE target IS NOT NULL UNION ALL
+      SELECT seed, source, 2, 'linked-from' FROM seeds JOIN resolved ON target = seed UNION ALL
+      SELECT DISTINCT seed, document_id, 2, 'mentions' FROM seeds JOIN ment ON chunk_id = seed UNION ALL
+      SELECT DISTINCT seed, chunk_id, 1, 'mentioned-in' FROM seeds JOIN ment ON document_id = seed UNION ALL SELECT seed, document_id, 1, 'same-community' FROM same),
+g AS (SELECT seed, d, sum(w) AS weight, max({{'w': w, 'r': r}}).r AS relation FROM w WHERE d <> seed GROUP BY seed, d)
+SELECT seed, d AS document_id, weight::BIGINT AS weight, relation, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, d)::INT AS rank FROM g QUALIFY rank <= 10""")
+def related_pages(spark, sf_dir):
+    docs, resolved = _resolved(spark, sf_dir)
+    _, found = _mentions(spark, sf_dir)
+    owner = docs.select(F.col("document_id").alias("id"), F.col("document_id").alias("owner_id"))
+    community = docs.select("document_id", (F.col("document_id") % 97).alias("community_id"))
+    return graph.related_pages(literal(spark, ((4,), (15,), (28,)), ("document_id",)), resolved, found, owner, community)
+
+
+@query(f"""WITH {_VAULT}, com AS (SELECT document_id, title, document_id % 97 % 13 AS community_id FROM vault),
+top AS (SELECT community_id, count(*) AS size FROM com GROUP BY community_id ORDER BY size DESC, community_id LIMIT 10)
+SELECT community_id, size, (SELECT array_to_string(list(title ORDER BY document_id)[1:5], '|') FROM com WHERE com.community_id = top.community_id) AS titles FROM top""")
+def community_summary(spark, sf_dir):
+    docs = vault(spark, sf_dir)
+    return graph.community_summary(docs.select("document_id", (F.col("document_id") % 97 % 13).alias("community_id")), docs).withColumn("titles", F.array_join("titles", "|"))
+
+
+# ---------------------------------------------------------------- evaluation and gate
+
+_OUT = """
+cand AS (SELECT q.vec_id AS question_id, e.vec_id % 40 AS document_id, 'p' || (e.vec_id % 40) AS path, 's' || (e.vec_id % 3) AS section_name, e.label AS label,
+           CASE e.label % 4 WHEN 0 THEN 'durable' WHEN 1 THEN 'project' WHEN 2 THEN 'decision' ELSE 'evidence' END AS authority_class,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY (e.vec_id * 31 + q.vec_id * 17) % 499, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id < 400 QUALIFY rank <= 20),
+rel AS (SELECT vec_id AS question_id, 'p' || u.k AS path, CASE WHEN u.k % 2 = 0 THEN ['s' || (u.k % 3)] END AS sections FROM embeddings, (SELECT unnest([vec_id % 40, (vec_id + 9) % 40, (vec_id * 5 + 1) % 40]) AS k) u WHERE vec_id < 20),
+dr AS (SELECT question_id, path, row_number() OVER (PARTITION BY question_id ORDER BY best, path) AS doc_rank FROM (SELECT question_id, path, min(rank) AS best FROM cand GROUP BY ALL)),
+hit AS (SELECT DISTINCT c.question_id, c.path FROM cand c JOIN (SELECT DISTINCT * FROM rel) r USING (question_id, path) WHERE sections IS NULL OR list_contains(sections, section_name)),
+hr AS (SELECT question_id, doc_rank FROM hit JOIN dr USING (question_id, path)),
+nr AS (SELECT question_id, count(DISTINCT path) AS n FROM rel GROUP BY 1),
+m AS (SELECT n.question_id, n.n, min(doc_rank) AS first, count(*) FILTER (WHERE doc_rank <= 1) AS w1, count(*) FILTER (WHERE doc_rank <= 3) AS w3, count(*) FILTER (WHERE doc_rank <= 5) AS w5,
+        count(*) FILTER (WHERE doc_rank <= 10) AS w10, coalesce(sum(1.0 / log2(doc_rank + 1)) FILTER (WHERE doc_rank <= 10), 0) AS dcg FROM nr n LEFT JOIN hr USING (question_id) GROUP BY 1, 2),
+outc AS (SELECT question_id, CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END AS hit_at_1, CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END AS hit_at_3, CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END AS hit_at_5,
+   CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END AS hit_at_10, w1 / n AS recall_at_1, w3 / n AS recall_at_3, w5 / n AS recall_at_5, w10 / n AS recall_at_10,
+   coalesce(1.0 / first, 0.0) AS reciprocal_rank, dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg_at_10 FROM m)"""
+
+
+def _candidates(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = literal(spark, [(i,) for i in range(20)], ("question_id",)).withColumn("question_id", F.col("question_id").cast("long"))
+    v = F.col("vec_id")
+    klass = F.element_at(F.array(*map(F.lit, ("durable", "project", "decision", "evidence"))), F.col("label") % 4 + 1)
+    rows = e.where("vec_id < 400").crossJoin(F.broadcast(q)).select(
+        "question_id", (v % 40).alias("document_id"), F.concat(F.lit("p"), (v % 40).cast("string")).alias("path"), F.concat(F.lit("s"), (v % 3).cast("string")).alias("section_name"),
+        F.array(F.concat(F.lit("s"), (v % 3).cast("string"))).alias("heading_path"), klass.alias("authority_class"), "vec_id",
+    )
+    order = Window.partitionBy("question_id").orderBy((v * 31 + F.col("question_id") * 17) % 499, "vec_id")
+    return q, rows.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+
+
+def _relevant(q):
+    i = F.col("question_id")
+    k = q.select("question_id", F.explode(F.array(i % 40, (i + 9) % 40, (i * 5 + 1) % 40)).alias("k"))
+    return k.select("question_id", F.concat(F.lit("p"), F.col("k").cast("string")).alias("path"), F.when(F.col("k") % 2 == 0, F.array(F.concat(F.lit("s"), (F.col("k") % 3).cast("string")))).alias("sections")).distinct()
+
+
+@query(f"WITH {_OUT} SELECT DISTINCT question_id, path FROM hit")
+def relevance_match(spark, sf_dir):
+    q, cand = _candidates(spark, sf_dir)
+    return evaluation.relevance(cand, _relevant(q)).select("question_id", "path").distinct()
+
+
+_METRICS = [f"{m}_at_{k}" for m in ("hit", "recall") for k in (1, 3, 5, 10)]
+
+
+@query(f"WITH {_OUT} SELECT question_id, {', '.join(_METRICS)}, reciprocal_rank FROM outc")
+def hit_recall_mrr(spark, sf_dir):
+    q, cand = _candidates(spark, sf_dir)
+    return evaluation.hit_metrics(q, cand, _relevant(q)).select("question_id", *_METRICS, "reciprocal_rank")
+
+
+@query(f"WITH {_OUT} SELECT question_id, ndcg_at_10 FROM outc")
+def ndcg(spark, sf_dir):
+    q, cand = _candidates(spark, sf_dir)
+    return evaluation.hit_metrics(q, cand, _relevant(q)).select("question_id", "ndcg_at_10")
+
+
+@query(f"""WITH {_OUT} SELECT question_id, max(CASE WHEN rank = 1 THEN authority_class IN ('durable', 'project') END) AS top1, max(authority_class IN ('durable', 'project')) AS any3
+  FROM cand WHERE rank <= 3 GROUP BY question_id""")
+def authority_accuracy(spark, sf_dir):
+    q, cand = _candidates(spark, sf_dir)
+    return evaluation.authority_accuracy(q.select("*", F.lit("retrieve").alias("mode"), F.lit("durable").alias("authority_class")), cand)
+
+
+@query("""SELECT doc_id % 50 AS question_id, avg(CASE WHEN sha256(coalesce(text, '')) = CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AND source = CASE WHEN doc_id % 11 = 0 THEN 'y' ELSE source END THEN 1.0 ELSE 0.0 END) AS citation_fidelity
+  FROM documents GROUP BY 1""")
+def citation_fidelity(spark, sf_dir):
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return evaluation.citation_fidelity(docs.select(
+        (i % 50).alias("question_id"), "text", F.when(i % 7 == 0, "x").otherwise(F.sha2("text", 256)).alias("text_hash"), F.col("source").alias("section_name"),
+        F.array(F.lit("a"), F.when(i % 11 == 0, "y").otherwise(F.col("source"))).alias("heading_path"),
+    ))
+
+
+@query(f"WITH {_OUT}, c AS (SELECT question_id, document_id, count(*) AS n FROM cand WHERE rank <= 10 GROUP BY ALL) SELECT question_id, max(n) / sum(n) AS duplicate_share FROM c GROUP BY 1")
+def dup_concentration(spark, sf_dir):
+    return evaluation.duplicate_share(_candidates(spark, sf_dir)[1])
+
+
+@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"))
+
+
+def _outcomes(spark, sf_dir):
+    q, cand = _candidates(spark, sf_dir)
+    i = F.col("question_id")
+    return evaluation.hit_metrics(q, cand, _relevant(q)).withColumn("category", F.concat(F.lit("c"), (i % 4).cast("string"))).withColumn("elapsed_ms", (i * i % 37).cast("double"))
+
+
+_AGG = "count(*) AS n, avg(hit_at_1) AS hit_at_1, avg(hit_at_5) AS hit_at_5, avg(recall_at_10) AS recall_at_10, avg(reciprocal_rank) AS mrr, avg(ndcg_at_10) AS ndcg_at_10, quantile_cont((question_id * question_id % 37)::DOUBLE, 0.5) AS p50_ms, quantile_cont((question_id * question_id % 37)::DOUBLE, 0.95) AS p95_ms"
+
+
+@query(f"WITH {_OUT} SELECT 'c' || (question_id % 4) AS category, {_AGG} FROM outc GROUP BY 1")
+def aggregate_by_category(spark, sf_dir):
+    return evaluation.aggregate(_outcomes(spark, sf_dir), ("category",))
+
+
+@query(f"""WITH {_OUT}, a AS (SELECT avg(hit_at_5) AS h, avg(reciprocal_rank) AS r, avg(hit_at_1) AS t FROM outc), x(metric, base, candidate, tolerance) AS (
+  SELECT 'hit_at_5', h, h - 0.03, 0.02 FROM a UNION ALL SELECT 'mrr', r, r - 0.01, 0.02 FROM a UNION ALL SELECT 'authority_top1', t, t * 0.5, 0.05 FROM a)
+  SELECT metric, base, candidate, base - candidate AS drop, base - candidate > tolerance AS regressed FROM x""")
+def regression_rule(spark, sf_dir):
+    one = evaluation.aggregate(_outcomes(spark, sf_dir)).select(F.lit("heldout").alias("split"), F.lit("1").alias("version"), F.lit("f").alias("fingerprint"), "hit_at_5", "mrr", F.col("hit_at_1").alias("authority_top1"))
+    other = one.withColumn("hit_at_5", F.col("hit_at_5") - 0.03).withColumn("mrr", F.col("mrr") - 0.01).withColumn("authority_top1", F.col("authority_top1") * 0.5)
+    return evaluation.regressions(one, other).select("metric", "base", "candidate", "drop", "regressed")
+
+
+_GATE = """
+g AS (SELECT question_id AS query_id, rank, 1.0 / (20 + rank) + (document_id % 5) * 0.001 AS score, CASE WHEN document_id % 3 <> 0 THEN rank END AS dense_rank, CASE WHEN document_id % 2 = 0 THEN rank END AS lexical_rank,
+   CASE WHEN document_id % 3 <> 0 THEN (document_id % 20) / 10.0 END AS distance, CASE WHEN document_id % 2 = 0 THEN document_id * 0.5 END AS bm25, authority_class = 'durable' AS authority_match FROM cand),
+feat AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS rrf_top, greatest(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 0.0) AS rrf_margin,
+   count(*) FILTER (WHERE rank <= 5 AND dense_rank IS NOT NULL AND lexical_rank IS NOT NULL) / 5 AS channel_agreement_top5,
+   max(CASE WHEN rank = 1 AND dense_rank IS NOT NULL AND lexical_rank IS NOT NULL THEN 1.0 ELSE 0.0 END) AS top1_in_both_channels, max(CASE WHEN rank = 1 AND authority_match THEN 1.0 ELSE 0.0 END) AS authority_top1,
+   coalesce(1 - min(distance) / 2, 0.0) AS dense_top_similarity, CASE WHEN max(bm25) > 0 THEN 1 - exp(-max(bm25) / 10) ELSE 0.0 END AS bm25_top_norm, least(count(*), 10) / 10 AS n_candidates_norm FROM g GROUP BY query_id),
+sc AS (SELECT query_id, 1 / (1 + exp(-(-1.0 + 20 * rrf_top + channel_agreement_top5 + 2 * authority_top1 - dense_top_similarity))) AS gate_score, query_id % 3 <> 0 AS label, query_id % 5 = 0 AS abstain FROM feat)"""
+_WEIGHTS = {"rrf_top": 20.0, "channel_agreement_top5": 1.0, "authority_top1": 2.0, "dense_top_similarity": -1.0}
+
+
+def _gate_rows(spark, sf_dir):
+    _, cand = _candidates(spark, sf_dir)
+    d, r = F.col("document_id"), F.col("rank")
+    return cand.select(
+        F.col("question_id").alias("query_id"), "rank", (F.lit(1.0) / (20 + r) + (d % 5) * 0.001).alias("score"), F.when(d % 3 != 0, r).alias("dense_rank"), F.when(d % 2 == 0, r).alias("lexical_rank"),
+        F.when(d % 3 != 0, (d % 20) / 10).alias("distance"), F.when(d % 2 == 0, d * 0.5).alias("bm25"), (F.col("authority_class") == "durable").alias("authority_match"),
+    )
+
+
+def _gate_scored(spark, sf_dir):
+    i = F.col("query_id")
+    return gate.scored(gate.features(_gate_rows(spark, sf_dir)), _WEIGHTS, -1.0).withColumn("label", i % 3 != 0).withColumn("abstain", i % 5 == 0)
+
+
+@query(f"WITH {_OUT}, {_GATE} SELECT * FROM feat")
+def gate_features(spark, sf_dir):
+    return gate.features(_gate_rows(spark, sf_dir))
+
+
+@query(f"WITH {_OUT}, {_GATE} SELECT query_id, gate_score, gate_score >= 0.6 AS inject FROM sc")
+def gate_score(spark, sf_dir):
+    return gate.decide(_gate_scored(spark, sf_dir), 0.6).select("query_id", "gate_score", "inject")
+
+
+@query(f"""WITH {_OUT}, {_GATE}, p AS (SELECT gate_score, avg(label::INT) OVER (ORDER BY gate_score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS precision FROM sc)
+  SELECT coalesce(min(gate_score) FILTER (WHERE precision >= 0.7), max(gate_score)) AS threshold FROM p""")
+def gate_threshold(spark, sf_dir):
+    return gate.threshold(_gate_scored(spark, sf_dir), 0.7)
+
+
+@query(f"""WITH {_OUT}, {_GATE}, t AS (SELECT *, gate_score >= 0.6 AS inj FROM sc) SELECT count(*) FILTER (WHERE inj AND NOT abstain AND label) / count(*) FILTER (WHERE inj AND NOT abstain) AS precision,
+  count(*) FILTER (WHERE inj AND NOT abstain) / count(*) FILTER (WHERE NOT abstain) AS coverage, 1 - count(*) FILTER (WHERE inj AND abstain) / count(*) FILTER (WHERE abstain) AS abstain_rate,
+  (count(*) FILTER (WHERE inj AND NOT abstain AND NOT label) + count(*) FILTER (WHERE inj AND abstain)) / count(*) FILTER (WHERE inj) AS pollution, count(*) FILTER (WHERE inj)::DOUBLE AS injected, count(*)::DOUBLE AS n FROM t""")
+def gate_report(spark, sf_dir):
+    return gate.report(_gate_scored(spark, sf_dir), 0.6)
+
+
+@query(None)
+def gate_fit(spark, sf_dir):
+    rows = _gate_scored(spark, sf_dir)
+    weights, bias = gate.fit(rows)
+    return literal(spark, [*weights.items(), ("bias", bias)], ("name", "value"))
+
+
+@query("""WITH q AS (SELECT 'g' || (doc_id % 60) AS question_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'ask' END AS query, CASE WHEN doc_id % 8 = 0 THEN 'test' ELSE 'dev' END AS split, CASE WHEN doc_id % 10 = 0 THEN 'abstain' ELSE 'retrieve' END AS mode,
+  CASE WHEN doc_id % 6 = 0 THEN [] ELSE ['p' || (doc_id % 7)] END AS relevant FROM documents WHERE doc_id < 65), n AS (SELECT question_id, unnest(relevant) AS path FROM q)
+  SELECT question_id, 'duplicate id' AS problem FROM q GROUP BY 1 HAVING count(*) > 1 UNION SELECT question_id, 'empty query' FROM q WHERE trim(query) = '' UNION SELECT question_id, 'unknown split' FROM q WHERE split NOT IN ('dev', 'heldout')
+  UNION SELECT question_id, 'abstain with sources' FROM q WHERE mode = 'abstain' AND len(relevant) > 0 UNION SELECT question_id, 'no sources' FROM q WHERE mode <> 'abstain' AND len(relevant) = 0 UNION SELECT question_id, 'unknown path' FROM n WHERE path NOT IN ('p0', 'p1', 'p2', 'p3')""")
+def golden_validation(spark, sf_dir):
+    i = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    q = table(spark, sf_dir, "documents").where("doc_id < 65").select(
+        F.concat(F.lit("g"), (i % 60).cast("string")).alias("question_id"), F.when(i % 9 == 0, "").otherwise("ask").alias("query"), F.when(i % 8 == 0, "test").otherwise("dev").alias("split"),
+        F.when(i % 10 == 0, "abstain").otherwise("retrieve").alias("mode"), F.when(i % 6 == 0, none).otherwise(F.array(F.concat(F.lit("p"), (i % 7).cast("string")))).alias("relevant"),
+    )
+    return evaluation.validate_golden(q, literal(spark, [("p0",), ("p1",), ("p2",), ("p3",)], ("path",)))
+
+
+@query("SELECT source AS category, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS heldout, count(*) FILTER (WHERE doc_id % 3 = 0) > 0 AS complete FROM documents GROUP BY source")
+def stratification(spark, sf_dir):
+    return evaluation.stratification(table(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.when(F.col("doc_id") % 3 == 0, "heldout").otherwise("dev").alias("split")))
+
+
+# ---------------------------------------------------------------- events
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+  SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 3600000000 AS ended_us, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = bursts(events, "1 hour", ("user_id",), late=None)
+    return out.select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n_events")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
