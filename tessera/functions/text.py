@@ -49,7 +49,7 @@ def heading_outline(body: Column) -> Column:
 
 def wikilinks(body: Column) -> Column:
     """Distinct trimmed targets in order; code fences are not stripped."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1)), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def body_tags(body: Column) -> Column:

@@ -27,7 +27,9 @@ def bursts(events: DataFrame, gap: str = "2 seconds", keys: Sequence[str] = (),
     aggregates = [F.count(F.lit(1)).alias("n_events")]
     if "path" in events.columns:
         aggregates.append(F.array_sort(F.collect_set("path")).alias("paths"))
-    out = rows.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(*aggregates)
+    # a stream needs a key beside its sessions; a constant one makes them sessions of all events
+    grouping = list(keys) or [(F.unix_micros("ts") * 0).alias("all")]
+    out = rows.groupBy(F.session_window("ts", gap).alias("w"), *grouping).agg(*aggregates)
     return out.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), *[c for c in ("n_events", "paths") if c in out.columns])
 
 
