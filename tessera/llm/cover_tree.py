@@ -295,7 +295,7 @@ def cosine_components(
 
     Nulls: a vector that is null, empty, zero, or with null or non-finite components links with nothing. A null id
     has no component and is kept, linked with nothing. Vectors link only with those of their own length. Rows that
-    repeat an id are vectors of their own that count as links. An empty table gives no rows.
+    repeat an id count as links; if their vectors differ, they share the links of both. An empty table gives no rows.
     """
     unit, reps, links = cosine_links(vectors, cosine, id_col, vector_col)
     copies = reps.select("node", "copies")

@@ -185,22 +185,26 @@ def minhash_components(
     counts = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(classes.join(counts, "key"), "members")
     needed = written(members.select(F.col("node").alias("doc_id")).distinct(), "needed")
-    sigs = only(named.select("doc_id", "sig"), needed, "doc_id").groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    sigs = sigs.withColumnRenamed("doc_id", "node")
+    sigs = only(named.select("doc_id", "sig"), needed, "doc_id").withColumnRenamed("doc_id", "node")
+    sigs = sigs.repartition("node").dropDuplicates(["node", "sig"])
     pairs = block_pairs(members, F.col("key"), F.col("n"), F.col("node")).join(sigs, "node")
     least = least_matches(percent / 100, BANDS * ROWS)
     pairs = dealt(pairs, ["node", "sig"]).mapInArrow(_candidates(least), "a long, b long")
-    outlasting = written(pairs.distinct(), "outlasting")
+    outlasting = written(pairs.where("a <> b").distinct(), "outlasting")
     ends = outlasting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     clusters = written(connected_components(ends, outlasting), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     inside = written(clusters.join(sizes, "component"), "cluster_members")
     texts = only(rows.withColumnRenamed("doc_id", "node"), written(inside.select("node"), "cluster_ids"), "node")
-    sets = texts.mapInArrow(_sets(shingle), "node long, set binary").groupBy("node").agg(F.max("set").alias("set"))
+    sets = texts.mapInArrow(_sets(shingle), "node long, set binary").repartition("node").dropDuplicates(["node", "set"])
     blocks = block_pairs(inside, F.col("component"), F.col("n"), F.col("node")).join(sets, "node")
-    links = written(dealt(blocks, ["node", "set"]).mapInArrow(_links(percent), "a long, b long").distinct(), "links")
-    linked = connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
+    found = dealt(blocks, ["node", "set"]).mapInArrow(_links(percent), "a long, b long").where("a <> b").distinct()
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    mark = F.xxhash64("digest")
+    twice = named.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id")
+    same_id = named.join(twice, "doc_id").join(firsts, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = written(found.unionByName(same_id.where("a <> b")), "links")
+    linked = connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
     groups = firsts.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     plain = signed.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = named.select("doc_id", "n_shingles", "digest").join(groups, "digest")
