@@ -18,9 +18,12 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, WIDTH = 16, 16
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
+#: Embedding rows that fewer training texts hold stay zero, so that no text is learned by its rare words.
+LEAST_TEXTS = 3
 #: Labelled rows that training takes at most, of each label, and the words of those that train weights.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 1500, 2500, 512
-EPOCHS, RATE = 6, 0.01
+#: Gradient steps, whatever the number of rows, and texts of a step.
+STEPS, BATCH, RATE = 400, 64, 0.01
 THRESHOLD = 0.7
 
 _WORDS = np.zeros(256, bool)
@@ -223,7 +226,7 @@ def text_logits(p: Params, c: Coded) -> np.ndarray:
 
 
 def coded_texts(texts: pa.Array) -> Iterator[tuple[int, Coded]]:
-    for row, data, at in text_slices(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))):
+    for row, data, at in text_slices(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")):
         yield row, code(data, at)
 
 
@@ -243,30 +246,66 @@ class Adam:
             p[k] -= (fix * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> Params:
+def label_weights(coded: list[Coded], toxic: np.ndarray, clip: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each embedding row of words and n-grams: how surely texts with it are more often toxic.
+
+    The log odds of presence among toxic against clean texts, over its standard error, so what few texts hold
+    weighs little. Rows that fewer than LEAST_TEXTS texts hold are not numbers.
+    """
+    seen = {name: np.zeros((2, n)) for name, n in (("words", WORD_ROWS), ("grams", GRAM_ROWS))}
+    done = 0
+    for c in coded:
+        n = len(c.bounds) - 1
+        text = np.repeat(np.arange(n), np.diff(c.bounds))
+        used = np.unique(text * np.int64(len(c.word_rows) + 1) + c.which)
+        text, word = np.divmod(used, np.int64(len(c.word_rows) + 1))
+        counts = np.diff(c.gram_starts)[word]
+        at = np.repeat(c.gram_starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        for name, owner, rows in (("words", text, c.word_rows[word]), ("grams", np.repeat(text, counts), c.gram_rows[at])):
+            pairs = np.unique(owner.astype(np.int64) * (1 << 20) + rows)
+            np.add.at(seen[name], (toxic[done + (pairs >> 20)], pairs & ((1 << 20) - 1)), 1)
+        done += n
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+    out = []
+    for name in ("words", "grams"):
+        clean, bad = seen[name]
+        odds = np.log((bad + 0.5) / (n1 - bad + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
+        z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (clean + 0.5))
+        out.append(np.where(bad + clean >= LEAST_TEXTS, np.clip(z, -clip, clip) / clip, np.nan).astype(np.float32))
+    return out[0], out[1]
+
+
+def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS) -> Params:
     """Weights from labelled texts, where a text is as toxic as its worst window.
 
-    Each step scores a batch's windows, then follows the gradient at each text's highest window. Texts over
+    One coordinate of the words' embeddings and one of the n-grams' start at their label weights. Each step
+    scores a batch's windows, then follows the gradient at each text's highest window. Texts over
     TRAIN_WORDS words only help to set the threshold: the score is THRESHOLD half way between the two labels'
     logits, at the cut with the fewest errors.
     """
     p, adam, r = new_params(seed), Adam(), np.random.default_rng(seed)
     coded = [c for _, c in coded_texts(pa.array(texts, pa.large_string()))]
+    live: dict[str, np.ndarray] = {}
+    for name, at, weights in zip(("words", "grams"), (0, 1), label_weights(coded, toxic), strict=True):
+        live[name] = ~np.isnan(weights)
+        p[name][:, at] = np.nan_to_num(weights)
+        p[name][~live[name]] = 0
     groups: list[tuple[Coded, np.ndarray, int]] = []
     done = 0
     for c in coded:
         groups.append((c, toxic[done : done + len(c.bounds) - 1].astype(np.float32), done))
         done += len(c.bounds) - 1
     weight = len(toxic) / max(1, 2 * toxic.sum()), len(toxic) / max(1, 2 * (len(toxic) - toxic.sum()))
-    for epoch in range(epochs):
+    size, usable = BATCH, any(((n := np.diff(c.bounds)) > 0).any() and (n[n > 0] <= TRAIN_WORDS).any() for c in coded)
+    while usable and adam.t < steps:
         for g in r.permutation(len(groups)):
             c, y, _ = groups[g]
             words = np.diff(c.bounds)
             use = np.flatnonzero((words > 0) & (words <= TRAIN_WORDS))
             text, start, length = windows(c.bounds)
             r.shuffle(use)
-            for a in range(0, len(use), 64):
-                batch = use[a : a + 64]
+            for a in range(0, len(use), size):
+                batch = use[a : a + size]
                 mine = np.flatnonzero(np.isin(text, batch))
                 # only the batch's distinct words are embedded and updated
                 idx, mask = _layout(c, start[mine], length[mine])
@@ -287,7 +326,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5, epochs: int = EPOC
                 counts = np.diff(part.gram_starts)
                 grads["grams"] = np.zeros_like(p["grams"])
                 np.add.at(grads["grams"], part.gram_rows, np.repeat(dx / np.maximum(counts, 1)[:, None].astype(np.float32), counts, axis=0))
-                adam.step(p, grads, RATE * (0.5 if epoch >= epochs // 2 else 1))
+                for name, rows in live.items():
+                    grads[name][~rows] = 0
+                adam.step(p, grads, RATE * (0.5 if adam.t >= steps // 2 else 1))
     logits = np.concatenate([text_logits(p, c) for c in coded]) if coded else np.empty(0)
     p["shift"], p["scale"] = _threshold(logits, toxic)
     return p
