@@ -83,8 +83,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     return out, ends
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, where texts begin) for runs of rows of about SLICE_BYTES; nulls are empty."""
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, where texts begin) for runs of rows of about `size` bytes; nulls are empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if len(texts) == 0:
         return
@@ -92,7 +92,7 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, side="right")) - 1)
+        to = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
         yield row, data[at[row] : at[to]], at[row : to + 1] - at[row]
         row = to
 

@@ -24,6 +24,8 @@ LEAST_TEXTS = 3
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 1500, 2500, 512
 #: Gradient steps, whatever the number of rows, and texts of a step.
 STEPS, BATCH, RATE = 400, 64, 0.01
+#: Bytes of text whose words are coded at a time: by a task, and in training, which has the driver's memory.
+SLICE_BYTES, TRAIN_BYTES = 2 << 20, 1 << 20
 THRESHOLD = 0.7
 
 _WORDS = np.zeros(256, bool)
@@ -92,15 +94,19 @@ def code(data: np.ndarray, at: np.ndarray) -> Coded:
     return Coded(which, bounds, (mix(whole) % np.uint64(WORD_ROWS)).astype(np.int32), rows_all[order], gram_starts)
 
 
-def word_inputs(p: Params, c: Coded) -> np.ndarray:
-    """Each distinct word's input: its own embedding plus the mean of its n-grams'."""
-    n = len(c.word_rows)
-    if not n:
-        return np.zeros((0, WIDTH), np.float32)
-    sums = np.add.reduceat(p["grams"][c.gram_rows], np.minimum(c.gram_starts[:-1], max(0, len(c.gram_rows) - 1)), axis=0)
-    counts = np.diff(c.gram_starts)
-    sums[counts == 0] = 0
-    return p["words"][c.word_rows] + sums / np.maximum(counts, 1)[:, None].astype(np.float32)
+def word_inputs(p: Params, c: Coded, block: int = 16_384) -> np.ndarray:
+    """Each distinct word's input: its own embedding plus the mean of its n-grams', a block of words at a time."""
+    out = p["words"][c.word_rows]
+    for a in range(0, len(c.word_rows), block):
+        starts = c.gram_starts[a : a + block + 1]
+        counts = np.diff(starts)
+        rows = c.gram_rows[starts[0] : starts[-1]]
+        if not len(rows):
+            continue
+        sums = np.add.reduceat(p["grams"][rows], np.minimum(starts[:-1] - starts[0], len(rows) - 1), axis=0)
+        sums[counts == 0] = 0
+        out[a : a + block] += sums / np.maximum(counts, 1)[:, None].astype(out.dtype)
+    return out
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,8 +231,8 @@ def text_logits(p: Params, c: Coded) -> np.ndarray:
     return np.where(np.isneginf(out), np.float32(-20), out)
 
 
-def coded_texts(texts: pa.Array) -> Iterator[tuple[int, Coded]]:
-    for row, data, at in text_slices(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")):
+def coded_texts(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, Coded]]:
+    for row, data, at in text_slices(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), size):
         yield row, code(data, at)
 
 
@@ -284,7 +290,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS
     logits, at the cut with the fewest errors.
     """
     p, adam, r = new_params(seed), Adam(), np.random.default_rng(seed)
-    coded = [c for _, c in coded_texts(pa.array(texts, pa.large_string()))]
+    coded = [c for _, c in coded_texts(pa.array(texts, pa.large_string()), TRAIN_BYTES)]
     live: dict[str, np.ndarray] = {}
     for name, at, weights in zip(("words", "grams"), (0, 1), label_weights(coded, toxic), strict=True):
         live[name] = ~np.isnan(weights)
