@@ -16,30 +16,34 @@ from tessera.llm.tokens import encoder
 
 #: Documents of one shard of the index, by the mean.
 SHARD_DOCS = 1500
-#: Terms of a seed with the highest weights that query the index.
-QUERY_TERMS = 24
+#: Dimensions of the content vectors that deal documents to shards, and vectors of a shard that fit the tree.
+CONTENT, PER_SHARD = 32, 64
+#: A term that more than this share of a shard's documents hold is scored for all of them in one matrix product.
+DENSE = 1 / 16
+#: Token ids whose content vectors are summed at a time.
+SLICE_IDS = 1 << 18
 K1, B = 1.2, 0.75
 CODED = "row_key long, doc_id long, n_tokens long, ids binary, full_crcs binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _encode(path: str, end_id: int, window: int):
-    """Per document: its number of ids, the checksums of the windows it fills alone, and the ids that remain."""
+    """Per document: its number of ids, the ids, and the checksums of the windows it fills alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             for at, ids, bounds in enc.slices(batch.column(2)):
                 n = len(bounds) - 1
-                rests, fulls, sizes = [], [], np.diff(bounds) + 1
+                coded, fulls, sizes = [], [], np.diff(bounds) + 1
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     doc = np.append(ids[a:b], np.asarray(end_id, ids.dtype)).astype("<u4")
                     whole = len(doc) // window * window
                     crcs = [zlib.crc32(doc[i : i + window].tobytes()) for i in range(0, whole, window)]
                     fulls.append(np.asarray(crcs, "<u4").tobytes())
-                    rests.append(doc[whole:].astype(enc.kind).tobytes())
+                    coded.append(doc.astype(enc.kind).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(sizes), pa.array(rests, pa.binary()), pa.array(fulls, pa.binary())],
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(sizes), pa.array(coded, pa.binary()), pa.array(fulls, pa.binary())],
                     names=["row_key", "doc_id", "n_tokens", "ids", "full_crcs"],
                 )
 
@@ -63,32 +67,128 @@ def _frequencies(kind: str):
     return run
 
 
+def directions_of(idf: np.ndarray) -> np.ndarray:
+    """A random direction of each id, as long as its inverse document frequency."""
+    return np.random.default_rng(11).standard_normal((len(idf), CONTENT)).astype(np.float32) * idf.astype(np.float32)[:, None]
+
+
+def content_vectors(column: pa.Array, kind: str, directions: np.ndarray) -> np.ndarray:
+    """A unit vector per document: the sum of its ids' directions."""
+    out = np.zeros((len(column), CONTENT), np.float32)
+    for i, x in enumerate(column):
+        ids = np.frombuffer(x.as_py(), kind)
+        for a in range(0, len(ids), SLICE_IDS):
+            out[i] += directions[ids[a : a + SLICE_IDS]].sum(axis=0)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class ContentTree:
+    """Shards by content: a sample's vectors are halved along their widest direction until a shard is left of each part.
+
+    A leaf that holds more than two shards' share of the sample, as equal documents can't be halved, is several
+    shards, among which a hash deals.
+    """
+
+    def __init__(self, sample: np.ndarray, shards: int) -> None:
+        self.axis: list[np.ndarray] = []
+        self.cut: list[float] = []
+        self.child: list[list[int]] = []
+        self.parts: list[int] = []
+        per_shard = len(sample) / max(1, shards)
+        self.root = self._grow(sample, shards, per_shard)
+        self.base = np.concatenate([[0], np.cumsum(self.parts)]).astype(np.int64)
+
+    def _grow(self, x: np.ndarray, shards: int, per_shard: float) -> int:
+        """The number of a node, or -1 - leaf."""
+        if shards > 1 and len(x) > 1:
+            y = x - x.mean(axis=0)
+            axis = np.linalg.eigh(y.T @ y)[1][:, -1].astype(np.float32)
+            p = x @ axis
+            cut = float(np.sort(p)[len(p) * (shards // 2) // shards])
+            right = p > cut if (p > cut).sum() >= (p < cut).sum() else p >= cut
+            if right.any() and not right.all() and np.ptp(p) > 1e-4:
+                bound = float((p[~right].max() + p[right].min()) / 2)
+                most = min(shards - 1, max(1, round(shards * right.sum() / len(p))))
+                at = len(self.axis)
+                self.axis.append(axis)
+                self.cut.append(bound)
+                self.child.append([0, 0])
+                self.child[at] = [self._grow(x[~right], shards - most, per_shard), self._grow(x[right], most, per_shard)]
+                return at
+        share = len(x) / per_shard if per_shard else 1.0
+        self.parts.append(1 if share <= 2 else -(-len(x) // max(1, int(per_shard))))
+        return -len(self.parts)
+
+    def shards(self, x: np.ndarray, row_keys: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), self.root, np.int64)
+        axis, cut, child = np.array(self.axis, np.float32), np.array(self.cut), np.array(self.child, np.int64)
+        while (live := np.flatnonzero(at >= 0)).size:
+            node = at[live]
+            at[live] = child[node, (np.einsum("ij,ij->i", x[live], axis[node]) > cut[node]).astype(int)]
+        leaf = -1 - at
+        return self.base[leaf] + row_keys % np.array(self.parts, np.int64)[leaf]
+
+
+def _vectors(kind: str, idf: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = directions_of(idf)
+        for batch in batches:
+            x = content_vectors(batch.column(0), kind, directions)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], names=["v"])
+
+    return run
+
+
+def _deal(kind: str, idf: np.ndarray, tree: ContentTree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = directions_of(idf)
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            shard = tree.shards(content_vectors(batch.column(3), kind, directions), keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32))], names=[*batch.schema.names, "shard"])
+
+    return run
+
+
 class Shard:
-    """A BM25 inverted index over the remaining pieces of a shard's documents."""
+    """A BM25 inverted index over the whole ids of a shard's documents; sizes are those of the pieces to place."""
 
-    def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.pieces, self.n = pieces, len(pieces)
-        terms, docs, weights = [], [], []
-        self.query: list[np.ndarray] = []
-        for i, ids in enumerate(pieces):
+    def __init__(self, docs: list[np.ndarray], sizes: list[int], idf: np.ndarray, mean: float) -> None:
+        self.sizes, self.n = sizes, len(docs)
+        terms, at, weights = [], [], []
+        for i, ids in enumerate(docs):
+            if not sizes[i]:
+                continue  # nothing of it is to be placed
             term, count = np.unique(ids, return_counts=True)
             weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean))
             terms.append(term)
-            docs.append(np.full(len(term), i, np.int32))
+            at.append(np.full(len(term), i, np.int32))
             weights.append(weight.astype(np.float32))
-            self.query.append(term[np.argsort(-weight, kind="stable")[:QUERY_TERMS]])
         term = np.concatenate(terms) if terms else np.empty(0, np.int64)
+        held = np.concatenate(at) if at else np.empty(0, np.int32)
+        weight = np.concatenate(weights) if weights else np.empty(0, np.float32)
+        count = np.bincount(term, minlength=len(idf))
+        dense = np.flatnonzero(count > max(1, self.n * DENSE))
+        row = np.full(len(idf), -1)
+        row[dense] = np.arange(len(dense))
+        in_dense = row[term] >= 0
+        m = np.zeros((self.n, len(dense)), np.float32)
+        m[held[in_dense], row[term[in_dense]]] = weight[in_dense]
+        self.common = (m > 0).astype(np.float32) @ m.T
+        # a term of one document finds no other
+        rest = ~in_dense & (count[term] > 1)
+        term, held, weight = term[rest], held[rest], weight[rest]
+        self.query = np.split(term, np.searchsorted(held, np.arange(1, self.n))) if self.n else []
         order = np.argsort(term, kind="stable")
-        self.docs = (np.concatenate(docs) if docs else np.empty(0, np.int32))[order]
-        self.weights = (np.concatenate(weights) if weights else np.empty(0, np.float32))[order]
+        self.docs, self.weights = held[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a query term, best score first, ties by position."""
-        scores = np.zeros(self.n, np.float32)
-        for t in self.query[seed]:
-            a, b = self.first[t], self.first[t + 1]
-            scores[self.docs[a:b]] += self.weights[a:b]
+        """Unused pieces whose documents share any term with the seed's, best score first, ties by position."""
+        a = self.first[self.query[seed]]
+        lengths = self.first[self.query[seed] + 1] - a
+        at = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        scores = self.common[seed] + np.bincount(self.docs[at], self.weights[at], minlength=self.n).astype(np.float32)
         scores[~unused] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
@@ -101,7 +201,7 @@ def fill_windows(shard: Shard, window: int) -> list[list[tuple[int, int, int]]]:
     the next. A seed with no neighbours left takes the next unused piece. The last, partly filled
     window is cut at powers of two, so none needs padding.
     """
-    n, sizes = shard.n, [len(p) for p in shard.pieces]
+    n, sizes = shard.n, shard.sizes
     unused = np.array([s > 0 for s in sizes], bool)
     windows: list[list[tuple[int, int, int]]] = []
     cursor, seed, at = 0, -1, 0
@@ -158,14 +258,15 @@ def fill_windows(shard: Shard, window: int) -> list[list[tuple[int, int, int]]]:
 def _pack(kind: str, window: int, idf: np.ndarray, mean: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_key", "doc_id"], kind="stable")
-        ids = [np.frombuffer(x, kind) for x in pdf["ids"]]
+        whole = [np.frombuffer(x, kind) for x in pdf["ids"]]
+        ids = [x[len(x) // window * window :] for x in whole]
         doc_ids, totals = pdf["doc_id"].tolist(), pdf["n_tokens"].tolist()
         rows, serial = [], int(key[0]) << 32
         for doc, total, crcs in zip(doc_ids, totals, pdf["full_crcs"], strict=True):
             for i, crc in enumerate(np.frombuffer(crcs, "<u4").tolist()):
                 rows.append((doc, i * window, window, crc, total, serial, 0))
                 serial += 1
-        for pieces in fill_windows(Shard(ids, idf, mean), window):
+        for pieces in fill_windows(Shard(whole, [len(x) for x in ids], idf, mean), window):
             offset = 0
             for k, start, length in pieces:
                 crc = zlib.crc32(ids[k][start : start + length].astype("<u4").tobytes())
@@ -185,10 +286,11 @@ def pack_documents(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids (end_id after them) fill windows of their own first; what remains, less than a window, is
-    the piece to place. Pieces are dealt by a hash to shards of about SHARD_DOCS, whose number grows with
-    the table. Each shard holds a BM25 index of its pieces, with document frequencies and mean
-    length of all pieces of the table; terms are token ids, so the frequencies that tasks get are
-    bounded by the vocabulary. Then `fill_windows`. Every sequence is `window` long, but for
+    the piece to place. Documents are dealt by content to shards of about SHARD_DOCS, whose number grows with
+    the table (`ContentTree`, fitted on PER_SHARD vectors a shard). Each shard holds a BM25 index over the whole ids of its documents, with document frequencies and mean
+    length of all of the table; terms are token ids, so the frequencies that tasks get are
+    bounded by the vocabulary. A piece queries with all terms of its document, within its shard: a neighbour that
+    another shard holds isn't seen. Then `fill_windows`. Every sequence is `window` long, but for
     those at a shard's end, whose lengths are powers of two.
 
     A null or empty text is one piece of the end id. Rows with the same id and text are packed each; their
@@ -210,8 +312,12 @@ def pack_documents(
     idf[df["term"].to_numpy(np.int64)] = np.log1p((n - df["df"] + 0.5) / (df["df"] + 0.5))
     mean = max(1.0, (length or 0) / enc.kind.itemsize / max(n, 1))
     shards = max(1, -(-n // SHARD_DOCS))
-    return (
-        coded.withColumn("shard", F.pmod("row_key", F.lit(shards)).cast("int"))
-        .groupBy("shard")
-        .applyInPandas(_pack(kind, window, idf, mean), PIECES)
-    )
+    if shards == 1:
+        dealt = coded.withColumn("shard", F.lit(0))
+    else:
+        slots = 1 << 20
+        some = coded.where(F.pmod(F.xxhash64("row_key"), F.lit(slots)) < min(slots, -(-shards * PER_SHARD * slots // n)))
+        found = sorted(r["v"] for r in some.select("ids").mapInArrow(_vectors(kind, idf), "v binary").collect())
+        tree = ContentTree(np.array([np.frombuffer(v, np.float32) for v in found]).reshape(-1, CONTENT), shards)
+        dealt = coded.mapInArrow(_deal(kind, idf, tree), CODED + ", shard int")
+    return dealt.groupBy("shard").applyInPandas(_pack(kind, window, idf, mean), PIECES)
