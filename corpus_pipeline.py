@@ -15,6 +15,10 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.toxicity import score_toxicity
 
+#: Each stage decides by row, under a key in this column; ids may repeat or be null.
+ROW = "__row"
+#: Bits of a key for a row's place in its file, above which is the file's number.
+ROW_BITS = 40
 #: Ids that a broadcast holds at most; beyond it the planner joins by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -25,39 +29,67 @@ def _table(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ids."""
-    gone = _table(spark, name, ids.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct())
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row: its file and its place in it; rows that aren't those of files are written first.
+
+    The key stays the same in every read, however the files are split.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = _table(spark, "rows", docs)
+    names = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
+    files = spark.createDataFrame(list(enumerate(names)), "__file long, __path string")
+    at = docs.select("*", F.col("_metadata.file_path").alias("__in"), F.col("_metadata.row_index").alias("__at"))
+    at = at.join(F.broadcast(files), F.col("__in") == F.col("__path"))
+    return at.select(*docs.columns, (F.shiftleft("__file", ROW_BITS) + F.col("__at")).alias(ROW))
+
+
+def _without(spark: SparkSession, keyed: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """keyed without the rows whose keys are in rows, and without the key."""
+    gone = _table(spark, name, rows.select(F.col(ROW).alias("__gone")))
     gone = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return keyed.join(gone, keyed[ROW] == gone["__gone"], "left_anti").drop(ROW)
+
+
+def _all_but_first(spark: SparkSession, keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of (row key, group), the rows beside the one of each group that has the smallest id, nulls last, then the smallest key."""
+    ids = keyed.select(ROW, F.col("doc_id").cast("long").alias("__id"))
+    groups = _table(spark, "groups", groups.join(ids, ROW))
+    first = groups.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", ROW)).alias("first"))
+    return groups.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti").select(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject; rows with a null id stay."""
+    """Rows that the toxicity model doesn't reject, whatever their ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, labels)
-    return _without(spark, docs, scored.where("predicted = 1").select("doc_id"), "toxic")
+    keyed = _keyed(spark, docs)
+    scored = score_toxicity(keyed, labels, row_col=ROW)
+    return _without(spark, keyed, scored.where("predicted = 1"), "toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
-    return _without(spark, docs, exact_dedup(docs).where("not kept").select("doc_id"), "copies")
+    """One row of each group of equal texts, that with the smallest id; of equal ids one row, null ids last."""
+    keyed = _keyed(spark, docs)
+    groups = exact_dedup(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("__group"))
+    return _without(spark, keyed, _all_but_first(spark, keyed, groups), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by shingles of five words, at 0.8."""
-    groups = minhash_components(docs, shingle=5, percent=80)
-    return _without(spark, docs, groups.where("not kept").select("doc_id"), "near_copies")
+    """One row of each group linked by shingles of five words, at 0.8, chosen as in drop_copies."""
+    keyed = _keyed(spark, docs)
+    groups = minhash_components(keyed, shingle=5, percent=80, id_col=ROW)
+    groups = groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
+    return _without(spark, keyed, _all_but_first(spark, keyed, groups), "near_copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    times = mix_sources(docs).select(F.col("doc_id").alias("__id"), F.col("times").cast("int").alias("__times"))
-    times = _table(spark, "times", times.where("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times")))
+    """Each row as often as the mix takes it."""
+    keyed = _keyed(spark, docs)
+    times = mix_sources(keyed, row_col=ROW).select(F.col(ROW).alias("__taken"), F.col("times").cast("int").alias("__times"))
+    times = _table(spark, "times", times.where("__times > 0"))
     times = F.broadcast(times) if times.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else times
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    taken = keyed.join(times, keyed[ROW] == times["__taken"])
     taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return taken.select(*(docs[c] for c in docs.columns))
+    return taken.select(*(keyed[c] for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,8 +116,9 @@ def mix_sources(
     weights: Sequence[float] = WEIGHTS,
     ceiling: int = CEILING,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, times, taken.
+    """One row per document: doc_id, source, size, source_size, target, times, taken, and row_col if one is named.
 
     `times` is how often the mix takes the document (0 to `ceiling`), taken = times * size. A
     source's target is made of whole passes over its documents and of a remainder, for which
@@ -131,9 +132,10 @@ def mix_sources(
     size 0 are taken once per whole pass. Rows that share id, source and size are interchangeable. An
     empty table gives no rows. Reruns give the same rows.
     """
+    also = [] if row_col is None else [row_col]
     rows = written(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *also
         ),
         "sizes",
     )
@@ -171,8 +173,8 @@ def mix_sources(
     edge = chosen.where("need > 0 and need < n")
     ranked = edge.withColumn(
         "extra",
-        (F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("hash", "doc_id")) <= F.col("need")).cast("int"),
+        (F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("hash", "doc_id", *also)) <= F.col("need")).cast("int"),
     )
-    cols = ["doc_id", "source", "size", "source_size", "target", (F.col("passes") + F.col("extra")).alias("times")]
+    cols = ["doc_id", "source", "size", "source_size", "target", (F.col("passes") + F.col("extra")).alias("times"), *also]
     out = whole.select(*cols).unionByName(clear.select(*cols)).unionByName(ranked.select(*cols))
     return out.withColumn("taken", F.col("times") * F.col("size"))

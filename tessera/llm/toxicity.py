@@ -368,9 +368,10 @@ def _score(p: Params):
             for row, c in coded_texts(batch.column(1)):
                 logits = text_logits(p, c).astype(np.float64)
                 score = 1 / (1 + np.exp(-np.clip((logits - p["shift"][0]) * p["scale"][0] + bias, -30, 30)))
+                keys = [c.slice(row, len(score)) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(score)), pa.array(score), pa.array(logits >= p["shift"][0])],
-                    names=["doc_id", "score", "toxic"],
+                    [batch.column(0).slice(row, len(score)), pa.array(score), pa.array(logits >= p["shift"][0]), *keys],
+                    names=["doc_id", "score", "toxic", *batch.schema.names[2:]],
                 )
 
     return run
@@ -401,9 +402,9 @@ def held_out(doc_id) -> F.Column:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, row_col: str | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """One row per document: doc_id, held_out, score, predicted, and row_col, a long, if one is named.
 
     The network reads windows of WINDOW words, STRIDE apart, over the whole text; a word enters with its own
     embedding and those of its character n-grams; a gated recurrent layer runs in each direction, attention pools the states, and
@@ -418,11 +419,13 @@ def score_toxicity(
     texts, toxic = training_rows(docs, labels, id_col, text_col, seed)
     both = len(set(toxic.tolist())) == 2
     p = train(texts, toxic, seed) if both else new_params(seed) | {"shift": np.array([25.0], np.float32)}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(p), "doc_id long, score double, toxic boolean")
+    also = [] if row_col is None else [row_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    scored = rows.mapInArrow(_score(p), ", ".join(["doc_id long", "score double", "toxic boolean", *(f"{c} long" for c in also)]))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *also,
     )
