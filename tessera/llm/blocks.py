@@ -6,26 +6,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members of a block, by the mean.
 BLOCK = 1024
-#: Ids that a broadcast set holds at most; beyond it Spark joins by shuffle.
-BROADCAST_IDS = 4_000_000
+#: Ids that a broadcast set holds at most (8 bytes each, and their table); beyond it Spark joins by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def block_pairs(members: DataFrame, group: Column, count: Column, node: Column, block: int = BLOCK) -> DataFrame:
-    """members with `own`, `low` and `high`: each member goes to every pair of blocks that has its own block.
+def cross_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (group, part, node) as (group, low, high, own, part, node): pairs of different parts of a group meet in one task.
 
-    A group of up to `block` members is one block. A task then compares block `low` with block `high`
-    of one group and holds two blocks at most, however large the group.
+    A part of more than `block` members has blocks of its own, the other parts of its group share blocks,
+    and each block is compared with itself and every other, but for the blocks of one part with one another:
+    a group that is one part gives no rows, and a large part is sent once for each block of the others. A task
+    holds two blocks (low and high, own tells which), however large the group.
     """
-    blocks = F.ceil(count / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(node), blocks).cast("int")
-    dealt = members.withColumn("group", group).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).drop("other")
+    sizes = members.groupBy("group", "part").agg(F.count(F.lit(1)).alias("m"))
+    large = F.col("m") > block
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    shape = (
+        sizes.groupBy("group")
+        .agg(
+            F.count(F.lit(1)).alias("parts"),
+            F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)).alias("shared"),
+            # one entry for each `block` members of the group at most
+            F.collect_list(F.when(large, F.struct("part", blocks(F.col("m")).alias("n")))).alias("large"),
+        )
+        .where("parts > 1")
+    )
+    own_blocks = F.col("large.n")[(F.array_position(F.col("large.part"), F.col("part")) - 1).cast("int")]
+    is_large = F.array_contains(F.col("large.part"), F.col("part"))
+    shared = blocks(F.col("shared"))
+    listed = F.concat(
+        F.when(F.col("shared") > 0, F.transform(F.sequence(F.lit(0), F.greatest(shared - 1, F.lit(0))), lambda k: _block(None, k))).otherwise(
+            F.array().cast("array<struct<part:bigint,at:int>>")
+        ),
+        F.flatten(F.transform("large", lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: _block(x["part"], k)))),
+    )
+    own = F.when(is_large, _block(F.col("part"), F.pmod(F.xxhash64("node"), F.coalesce(own_blocks, F.lit(1))).cast("int"))).otherwise(
+        _block(None, F.pmod(F.xxhash64("part"), F.greatest(shared, F.lit(1))).cast("int"))
+    )
+    placed = members.join(shape, "group").select("group", "part", "node", is_large.alias("alone"), own.alias("home"), F.explode(listed).alias("other"))
+    # a part with blocks of its own has no pairs within itself
+    placed = placed.where(~F.col("alone") | ~F.col("other.part").eqNullSafe(F.col("part")))
+    return placed.select(
+        "group",
+        F.xxhash64(F.least("home", "other")).alias("low"),
+        F.xxhash64(F.greatest("home", "other")).alias("high"),
+        (F.col("home") == F.greatest("home", "other")).cast("int").alias("own"),
+        "part",
+        "node",
+    )
+
+
+def _block(part, at):
+    """The name of a block: the part it belongs to, null for shared ones, and its number."""
+    return F.struct((F.lit(None).cast("long") if part is None else part).alias("part"), at.cast("int").alias("at"))
 
 
 def dealt(pairs: DataFrame, columns: list[str]) -> DataFrame:
