@@ -44,7 +44,7 @@ def expected(rows, k):
 
 @pytest.mark.parametrize("block", [1024, 3])
 def test_minhash_matches_brute_force(monkeypatch, docs, rows, block):
-    monkeypatch.setattr(minhash, "block_pairs", functools.partial(minhash.block_pairs, block=block))
+    monkeypatch.setattr(minhash, "cross_blocks", functools.partial(minhash.cross_blocks, block=block))
     got = Counter(tuple(r) for r in minhash.minhash_components(docs, shingle=4).collect())
     assert got == expected(rows, 4)
     assert sum(1 for r in got if r[0] is not None and 40 <= r[0] < 60 and r[2] == 40) >= 15
@@ -73,9 +73,9 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 20])
+@pytest.mark.parametrize("block", [8 << 20, 2560])
 def test_cover_tree_matches_brute_force(monkeypatch, spark, block):
-    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "BLOCK_BYTES", block)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("hash", F.lit(1)).withColumn("label", F.lit(None).cast("int"))
     unit = {}
@@ -90,17 +90,52 @@ def test_cover_tree_matches_brute_force(monkeypatch, spark, block):
     assert cover_tree.cosine_components(df.limit(0)).count() == 0
 
 
-def test_dual_traversal_prunes_and_keeps_all():
-    r = np.random.default_rng(5)
-    centers = r.normal(size=(12, 8))
-    x = np.concatenate([c + r.normal(size=(40, 8)) * 0.05 for c in centers])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    a, b = cover_tree.CoverTree(x[::2]), cover_tree.CoverTree(x[1::2])
+def clustered(r, clusters, each, width, spread):
+    x = np.repeat(r.normal(size=(clusters, width)), each, axis=0) + r.normal(size=(clusters * each, width)) * spread
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("clusters, each, width, spread", [(12, 40, 8, 0.05), (40, 30, 32, 0.2), (300, 1, 16, 1.0), (3, 200, 4, 0.6), (1, 300, 64, 0.02)])
+@pytest.mark.parametrize("chunk", [1 << 22, 6400])
+def test_dual_traversal_keeps_all(monkeypatch, clusters, each, width, spread, chunk):
+    monkeypatch.setattr(cover_tree, "CHUNK", chunk)
+    monkeypatch.setattr(cover_tree, "DENSE", 50)
+    x = np.random.default_rng(5).permutation(clustered(np.random.default_rng(6), clusters, each, width, spread))
+    w = np.arange(1, len(x) + 1)
+    half = len(x) // 2
+    a, b, whole = cover_tree.CoverTree(x[:half]), cover_tree.CoverTree(x[half:]), cover_tree.CoverTree(x)
     for k, radius in enumerate(cover_tree.RADII, 1):
-        assert a.levels[k][2].max() <= radius * 2 + 1e-9
-        assert set(a.levels[k - 1][0]) <= set(a.levels[k][0])
-    i, j = cover_tree.dual_pairs(a, b, 0.95)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(map(tuple, np.argwhere(x[::2] @ x[1::2].T >= 0.95).tolist()))
+        assert whole.radius[k].max() <= radius + 1e-3
+        assert set(whole.starts[k - 1]) <= set(whole.starts[k])
+    for s, t, left, right in ((a, b, x[:half], x[half:]), (whole, whole, x, x)):
+        u, v = w[: len(left)][s.order], w[-len(right) :][t.order]
+        out = cover_tree.dual_links(s, t, 0.95, u, v)
+        yes = s.x @ t.x.T >= 0.95
+        if s is t:
+            np.fill_diagonal(yes, False)
+            gain, edges = yes @ v, np.argwhere(yes)
+        else:
+            gain, edges = np.concatenate([yes @ v, yes.T @ u]), np.argwhere(yes) + [0, len(s.x)]
+        rows, got, label = out.result()
+        assert set(rows.tolist()) == set(np.flatnonzero(gain).tolist()) and (got == gain[rows]).all()
+        comp = components(range(len(gain)), edges.tolist())
+        assert {i: c for i, c in zip(rows.tolist(), label.tolist(), strict=True)} == {i: comp[i] for i in rows.tolist()}
+
+
+def test_dual_traversal_prunes():
+    x = clustered(np.random.default_rng(7), 60, 40, 32, 0.05)
+    a, b = cover_tree.CoverTree(x[::2]), cover_tree.CoverTree(x[1::2])
+    out = cover_tree.dual_links(a, b, 0.95, np.ones(len(a.x), int), np.ones(len(b.x), int))
+    assert out.compared < len(a.x) * len(b.x) / 20
+    assert (np.cumsum(out.gain)[:-1] == 20).all()
+
+
+def test_components_of_a_long_chain(spark):
+    ids = np.random.default_rng(2).permutation(2000).tolist()
+    edges = list(zip(ids, ids[1:]))
+    nodes = spark.createDataFrame([(i,) for i in ids], "node long")
+    got = connected_components(nodes, spark.createDataFrame(edges, "a long, b long"))
+    assert got.where("component <> 0").count() == 0 and got.count() == 2000
 
 
 def test_components(spark):
