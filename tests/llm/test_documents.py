@@ -114,6 +114,88 @@ def test_line_templates(spark):
     assert drop_templates(df.limit(0)).count() == 0
 
 
+def brute_templates(rows):
+    """doc_id, kept text of each row by the definition of drop_templates, for distinct ids."""
+    import re
+
+    def masked(line):
+        plain = re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ")
+        return re.sub(r"[^\x20]*[0-9][^\x20]*", "<*>", plain)
+
+    need = lambda n: 2 if n >= 50 else 10
+    leaf_of = lambda m: (len(m.split(" ")), tuple(m.split(" ")[:3]))
+    lines = [(i, t or "", k, masked(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    leaves = defaultdict(lambda: defaultdict(set))
+    for _, t, _, m in lines:
+        if m:
+            leaves[leaf_of(m)][m].add(t)
+    template = {}
+    for leaf, members in leaves.items():
+        if len(set().union(*members.values())) >= need(leaf[0]):
+            left = dict(members)
+            for k in range(2):
+                votes = [Counter() for _ in range(leaf[0])]
+                for m, held in left.items():
+                    for at, token in enumerate(m.split(" ")):
+                        votes[at][token] += len(held)
+                modal = [max(v, key=lambda x: (v[x], x.encode())) if v else "" for v in votes]
+                new = [m for m in left if sum(a == b for a, b in zip(m.split(" "), modal)) / leaf[0] >= 0.7]
+                template |= {m: (leaf, k) for m in new}
+                left = {m: h for m, h in left.items() if m not in new}
+    held, first = defaultdict(set), {}
+    for i, t, _, m in lines:
+        if m:
+            key = template.get(m, m)
+            held[key].add(t)
+            if i is not None:
+                first[key] = min(i, first.get(key, i))
+    out = []
+    for i, t in rows:
+        kept = []
+        for x in (t or "").split("\n"):
+            m = masked(x)
+            key = template.get(m, m)
+            gone = m and (len(held[key]) >= 10 or (len(held[key]) >= need(leaf_of(m)[0]) and i != first.get(key)))
+            if not gone:
+                kept.append(x)
+        out.append((i, "\n".join(kept)))
+    return Counter(out)
+
+
+def test_line_templates_match_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    words = "ka lo mi tu ran sel dor eth is ul".split()
+    passage = " ".join(r.choice(words) for _ in range(60))
+    edited = passage.replace("ka", "ko", 2)
+    rows = [(i, "\n".join(" ".join(r.choice(words) for _ in range(r.randint(3, 7))) for _ in range(r.randint(1, 8)))) for i in range(60)]
+    # a passage in three documents, one of them with edits, one far down a long text; one in a single document
+    rows += [(200, "a b\n" + passage), (190, "c d\n" + edited + "\nend"), (201, "\n".join(f"l{chr(97 + i % 26)} {chr(97 + i // 26 % 26)} x" for i in range(4000)) + "\n" + passage)]
+    rows += [(202, " ".join(r.choice(words) for _ in range(70))), (203, "x" * 30_000 + " 1 " + "y " * 20_000)]
+    # two templates of one leaf, whose fields hold no digit
+    rows += [(300 + i, f"see also page {'abcdefghijkl'[i] * 3} of the old printed book now") for i in range(12)]
+    rows += [(320 + i, f"see also page {'abcdefghijkl'[i] * 2} in some new online shop today") for i in range(12)]
+    rows += [(340 + i, "tie one two\ntie two one") for i in range(4)] + [(350, None), (351, ""), (None, "n u l l\n" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n", "own", "first", "gone", "line", "texts", "common")})
+    out = drop_templates(df.repartition(3)).collect()
+    assert Counter((r["doc_id"], r["kept_text"]) for r in out) == brute_templates(rows)
+    kept = {r["doc_id"]: r["kept_text"] for r in out}
+    assert kept[200] == "a b" and edited in kept[190] and passage not in kept[201] and passage not in kept[None]
+    assert all(kept[i] == "" for i in [*range(300, 312), *range(320, 332)]) and kept[202]
+
+
+def test_line_templates_by_shuffle(spark, monkeypatch):
+    """Beyond the broadcast's limit the results are the same."""
+    from tessera.llm import line_dedup
+
+    rows = [(i, f"note {chr(97 + i)}\nshared line of all texts\n" + "w " * 55 + chr(97 + i // 2)) for i in range(14)] + [(3, "note d\nother row of that id"), (3, "note d\nother row of that id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(tuple(r) for r in drop_templates(df).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert Counter(tuple(r) for r in drop_templates(df).collect()) == want
+
+
 def test_edited_counts(docs, rows):
     extra = [(500, "mail me at a.b@c.example.org now, call 0123456789  or  98765432\nsee x@y.zz."), (501, "no edits")]
     both = docs.sparkSession.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
