@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,17 @@ INTENT_CUES = {
     "current-state": r"\b(current(ly)?|status|state of|where (are|is) .* (at|now|up to)|right now|at the moment|latest|so far|progress|what('s| is) (done|left|implemented|working|blocked|next)|blockers?|remaining|outstanding|how far along|is .* (finished|complete|done|ready))\b",
     "evidence": r"\b(paper|article|transcript|source|according to|what does .* say|quote|cite|citation|evidence|original (text|document)|verbatim|clipping|raw)\b",
 }
+# Cues of the routing guards and rules, question words, and what parts clauses.
 GREETING = r"^\s*(hi|hello|hey|thanks|thank you|ok|okay|cheers|good (morning|evening|night)|yes|no|sure)\b[\s!.]*$"
 EXPLICIT = r"\b(in|from|check|search|look up|consult|per|according to) (the |my |our )?(wiki|vault|knowledge ?base|notes)\b"
 HISTORY = r"\b(in the log|history|chronolog|what happened on|timeline)\b"
 EVIDENCE = r"\b(paper|article|transcript|clipping|raw source|original source|what does the .* say)\b"
 PROJECT = r"\bproject[: ]+([A-Za-z0-9][A-Za-z0-9._-]*)"
 COMMAND = r"^\s*(run|execute|open|write|create|delete|install|git |ls |cd |cat |edit|fix|refactor|deploy|commit|push)\b"
-QUESTION_WORDS = "what which who whom whose when where why how does do did is are was were can could should would will".split()
+QUESTION_WORDS = (
+    "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "does", "do", "did", "is", "are", "was", "were", "can", "could", "should",
+    "would", "will",
+)
 CLAUSES = (
     r"\s*(?:;|\?\s+(?=\w)|\band also\b|\bas well as\b|\bversus\b|\bvs\.?\b|\bcompared (?:to|with)\b|"
     r"\band (?=(?:how|what|why|when|where|which|who|does|do|is|are|did|can|should)\b))\s*"
@@ -39,12 +45,22 @@ def intent(text: Column) -> Column:
     return out
 
 
-def route(text: Column, default_profile: str = "answer") -> Column:
+def project_named(text: Column, known: Sequence[str] = ()) -> Column:
+    """The project that a query names, or "": by cue, which must be a known one if any are known, else the first known name in it."""
+    cued = F.regexp_extract(text, "(?i)" + PROJECT, 1)
+    if not known:
+        return cued
+    names = F.array(*(F.lit(k) for k in known if k))
+    inside = F.filter(names, lambda k: F.contains(F.lower(text), F.lower(k)))
+    return F.when(F.array_contains(names, cued), cued).otherwise(F.coalesce(F.try_element_at(inside, F.lit(1)), F.lit("")))
+
+
+def route(text: Column, default_profile: str = "answer", known_projects: Sequence[str] = ()) -> Column:
     """struct(retrieve, profile, intent, reason, explicit): guards first, then the cue with the highest rank."""
     q = _stripped(text)
     has = lambda pattern: q.rlike("(?i)" + pattern)
     kind, terms = intent(text), informative_terms(q)
-    project = F.regexp_extract(q, "(?i)" + PROJECT, 1)
+    project = project_named(q, known_projects)
     first = F.regexp_replace(F.element_at(F.split(F.lower(q), r"(?U)\s+"), 1), r"^[?,.!]+|[?,.!]+$", "")
     explicit = has(EXPLICIT)
 
@@ -68,7 +84,7 @@ def route(text: Column, default_profile: str = "answer") -> Column:
         .when(project != "", to(True, F.concat(F.lit("project-cue:"), project), F.concat(F.lit("project:"), project), explicit))
         .when(explicit, to(True, "explicit-wiki-reference", None, F.lit(True)))
         .when(has(COMMAND), to(False, "imperative-command"))
-        .when(q.endswith("?") | first.isin(QUESTION_WORDS) | (kind != "general"), to(True, "question-like"))
+        .when(q.endswith("?") | first.isin(*QUESTION_WORDS) | (kind != "general"), to(True, "question-like"))
         .when(terms >= 6, to(True, "long-informative-statement"))
         .otherwise(to(False, "no-retrieval-cue"))
     )

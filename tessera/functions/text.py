@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 # Function words without lexical signal.
 STOPWORDS = (
-    "a an the and or of to in on for with is are was were be been being do does did what which who whom whose when "
-    "where why how this that these those it its as at by from into about over under than then there here we you i me "
-    "my our your they them their he she his her can could should would will shall may might must not no yes if"
-).split()
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did",
+    "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "this", "that", "these", "those", "it", "its", "as", "at", "by", "from",
+    "into", "about", "over", "under", "than", "then", "there", "here", "we", "you", "i", "me", "my", "our", "your", "they", "them", "their", "he",
+    "she", "his", "her", "can", "could", "should", "would", "will", "shall", "may", "might", "must", "not", "no", "yes", "if",
+)
 
 # The patterns of the parsing rules. (?d) lets only newlines end lines, (?U) widens classes to Unicode.
 FENCE = r"(?dms)^```.*?^```"
@@ -130,7 +131,8 @@ def truncate(text: Column, max_tokens: Column) -> Column:
     space = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
     half = F.floor(limit / 2)
     cut = F.when(line >= half, line).when(space >= half, space).otherwise(limit)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.left(text, cut.cast("int"))), F.lit(" …")))
+    kept = F.regexp_replace(F.left(text, cut.cast("int")), r"(?U)\s+\z", "")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(kept, F.lit(" …")))
 
 
 def content_hash(content: Column) -> Column:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import posixpath
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessera.functions.paths import in_profile, link_target
 from tessera.functions.text import informative_terms
+from tessera.operators.parts import connected_parts
 
 # Names too general to be a mention.
 GENERIC_KEYS = (
-    "index log plan brief context questions decisions current-state next-actions architecture readme notes todo summary overview"
-).split()
+    "index", "log", "plan", "brief", "context", "questions", "decisions", "current-state", "next-actions", "architecture", "readme", "notes", "todo",
+    "summary", "overview",
+)
 MAX_MENTION_ROWS, MAX_MENTION_DOCS = 400, 40
 
 
@@ -32,43 +32,68 @@ def link_keys(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.explode(names).alias("key")).where("key <> ''").distinct()
 
 
-@F.pandas_udf(StringType())
-def _joined(folder: pd.Series, hint: pd.Series) -> pd.Series:
-    """A hint relative to its page's folder, with dots resolved."""
-    return pd.Series([None if h is None else posixpath.normpath(posixpath.join(f or "", h)).lower().strip("/") for f, h in zip(folder, hint, strict=True)])
+def _joined(folder, hint):
+    """A hint relative to its page's folder, lower-cased, with `.` and `..` resolved; `..` at the top stays."""
+    steps = F.filter(F.split(F.concat_ws("/", F.when(folder != "", folder), hint), "/"), lambda p: (p != "") & (p != "."))
+    back = F.lit("..")
+    take = lambda done, step: F.when(
+        (step == back) & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != back), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    ).otherwise(F.concat(done, F.array(step)))
+    return F.lower(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), take), "/"))
 
 
-def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
+def resolve_links(links: DataFrame, docs: DataFrame, only_unresolved: bool = False) -> DataFrame:
     """links (link_id, source, key, hint) with target (document id or null).
 
     By hint: the path relative to the source's folder, then from the root, then the shortest path that ends with it. Else
     by key: of other documents with it, one in the same folder, then one of the same project, then the lowest id.
-    All are equi-joins; suffixes are exploded, as many as a path has parts.
+    With only_unresolved, links whose `target` is set stay as they are.
+
+    All are equi-joins. A key may be the name of a tenth of the documents, so a link doesn't meet them all: the two lowest
+    ids (one may be the source itself) of each (key, folder), (key, project) and key are what three joins meet.
+    Suffixes of paths are exploded, as many as a path has parts, for hints only.
     """
+    if only_unresolved:
+        done = links.where("target is not null")
+        return done.unionByName(resolve_links(links.where("target is null").drop("target"), docs).select(*links.columns))
     path = F.lower(F.regexp_replace("path", r"\.md$", ""))
     folder = F.lower(F.regexp_replace("path", "/?[^/]*$", ""))
     info = docs.select("document_id", path.alias("full"), folder.alias("folder"), "project_id")
     origin = info.select(F.col("document_id").alias("source"), F.col("folder").alias("from_folder"), F.col("project_id").alias("from_project"))
     rows = links.join(origin, "source", "left")
-    hinted = rows.where("hint is not null").select("link_id", "hint", _joined("from_folder", "hint").alias("near"))
-    wanted = hinted.select("link_id", F.posexplode(F.array("near", F.expr("trim(BOTH '/' FROM hint)"))).alias("turn", "full"))
+
+    bare = F.regexp_replace("hint", "^/+|/+$", "")
+    hinted = rows.where("hint is not null and hint <> ''").select("link_id", F.lower(bare).alias("tail"), _joined(F.col("from_folder"), F.col("hint")).alias("near"))
+    wanted = hinted.select("link_id", F.posexplode(F.array("near", "tail")).alias("turn", "full"))
     exact = wanted.join(info.select("full", "document_id"), "full").select("link_id", "turn", F.lit(0).alias("far"), "document_id")
     parts = F.split("full", "/")
-    tails = info.select(
-        "document_id",
-        F.length("full").alias("far"),
-        F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("tail"),
-    ).where("tail <> ''")
-    ending = hinted.select("link_id", F.expr("trim(BOTH '/' FROM hint)").alias("tail")).join(tails, "tail").select("link_id", F.lit(2).alias("turn"), "far", "document_id")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    shortest = F.min(F.struct(F.length("full").alias("far"), "document_id")).alias("best")
+    tails = info.select("document_id", "full", F.explode(ends).alias("tail")).where("tail <> ''").groupBy("tail").agg(shortest)
+    ending = hinted.join(tails, "tail").select("link_id", F.lit(2).alias("turn"), "best.far", "best.document_id")
     by_hint = exact.unionByName(ending).groupBy("link_id").agg(F.min(F.struct("turn", "far", "document_id"))["document_id"].alias("hinted"))
-    named = link_keys(docs).join(info, "document_id")
-    options = rows.select("link_id", "key", "source", "from_folder", "from_project").join(named, "key").where("document_id <> source")
-    choice = F.struct(
-        (~F.col("folder").eqNullSafe(F.col("from_folder"))).cast("int").alias("a"),
-        F.coalesce(F.col("from_project") != F.col("project_id"), F.lit(True)).cast("int").alias("b"),
-        "document_id",
+
+    named = link_keys(docs).join(info.select("document_id", "folder", "project_id"), "document_id")
+
+    def lowest(*by: str) -> DataFrame:
+        """The lowest two documents of each group, by two partial minima."""
+        first = named.groupBy(*by).agg(F.min("document_id").alias("one"))
+        second = named.join(first, list(by)).where("document_id > one").groupBy(*by).agg(F.min("document_id").alias("two"))
+        return first.join(second, list(by), "left")
+
+    def pick(one, two):
+        return F.when(F.col(one) != F.col("source"), F.col(one)).otherwise(F.col(two))
+
+    asked = rows.select("link_id", "key", "source", "from_folder", "from_project")
+    ways = (
+        (lowest("key", "folder").withColumnRenamed("folder", "from_folder"), ["key", "from_folder"], "folder"),
+        (lowest("key", "project_id").where("project_id is not null").withColumnRenamed("project_id", "from_project"), ["key", "from_project"], "project"),
+        (lowest("key"), ["key"], "any"),
     )
-    by_key = options.groupBy("link_id").agg(F.min(choice)["document_id"].alias("named"))
+    for table, on, name in ways:
+        table = table.withColumnsRenamed({"one": f"{name}_one", "two": f"{name}_two"})
+        asked = asked.join(table, on, "left")
+    by_key = asked.select("link_id", F.coalesce(*(pick(f"{n}_one", f"{n}_two") for _, _, n in ways)).alias("named"))
     out = links.join(by_hint, "link_id", "left").join(by_key, "link_id", "left")
     return out.withColumn("target", F.coalesce("hinted", "named")).drop("hinted", "named")
 
@@ -117,7 +142,7 @@ def mention_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     rows = pages.select("document_id", F.explode(F.array("title", F.translate("key", "-", " "))).alias("p")).select("document_id", F.trim("p").alias("phrase"))
     terms = informative_terms(F.col("phrase"))
     low = F.lower("phrase")
-    good = (F.length("phrase") >= 5) & ~low.isin(GENERIC_KEYS) & (terms > 0) & ~((terms == 1) & (F.length("phrase") < 8))
+    good = (F.length("phrase") >= 5) & ~low.isin(*GENERIC_KEYS) & (terms > 0) & ~((terms == 1) & (F.length("phrase") < 8))
     return rows.where(good).select("document_id", low.alias("phrase")).distinct()
 
 
@@ -141,52 +166,42 @@ def community_edges(links: DataFrame, docs: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+#: Sweeps of label propagation at most, and edges of a part that one task settles.
+SWEEPS = 20
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Label propagation within one connected part: pages in order of id take their neighbours' most frequent label."""
-    near: dict[int, list[int]] = {}
-    for a, b in zip(pdf["a"], pdf["b"], strict=True):
-        near.setdefault(a, []).append(b)
-    label = {n: n for n in near}
-    order = sorted(near)
-    for _ in range(20):
+    """Label propagation within one connected part: pages in order of id take their neighbours' most frequent label, ties the lowest."""
+    pages, at = np.unique(pdf["a"].to_numpy(), return_inverse=True)
+    to = np.searchsorted(pages, pdf["b"].to_numpy())
+    order = np.argsort(at, kind="stable")
+    near, first = to[order], np.searchsorted(at[order], np.arange(len(pages) + 1))
+    label = np.arange(len(pages))
+    for _ in range(SWEEPS):
         moved = False
-        for n in order:
-            votes = pd.Series([label[m] for m in near[n]]).value_counts()
-            best = int(votes[votes == votes.max()].index.min())
-            moved |= best != label[n]
+        for n in range(len(pages)):
+            votes = np.sort(label[near[first[n] : first[n + 1]]])
+            begins = np.flatnonzero(np.append(True, votes[1:] != votes[:-1]))
+            best = votes[begins[np.argmax(np.diff(np.append(begins, len(votes))))]]
+            moved |= bool(best != label[n])
             label[n] = best
         if not moved:
             break
-    lowest: dict[int, int] = {}
-    for n in order:
-        lowest.setdefault(label[n], n)
-    return pd.DataFrame({"document_id": order, "community_id": [lowest[label[n]] for n in order]})
+    # a community goes by its lowest page
+    _, lowest, of = np.unique(label, return_index=True, return_inverse=True)
+    return pd.DataFrame({"document_id": pages, "community_id": pages[lowest[of]]})
 
 
-def communities(links: DataFrame, docs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(document_id, community_id) by label propagation in order of id, 20 sweeps at most.
+def communities(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """(document_id, community_id) by label propagation in order of id, SWEEPS sweeps at most.
 
-    Labels never cross connected parts, so parts are found first (labels spread to the minimum, checkpointed each
-    round) and settled apart, each in a task; a page without links is its own community.
+    Labels never cross connected parts, so parts are found first, in logarithmic rounds whatever their diameter, and
+    settled apart, each in a task; a page without links is its own community. The order of pages within a part is what the rule
+    says, so a part is one task's work: it holds two longs an edge and one a page, and a sweep costs its edges.
     """
     edges = community_edges(links, docs)
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(named)
-    edges = edges.checkpoint()
-    part = edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("part")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(part.select(F.col("a").alias("b"), "part"), "b").groupBy("a").agg(F.min("part").alias("near"))
-        step = part.join(near, "a").select("a", "part", F.least("part", "near").alias("new")).checkpoint()
-        part = step.select("a", F.col("new").alias("part"))
-        if step.where("new <> part").limit(1).count() == 0:
-            break
-    settled = edges.join(part, "a").groupBy("part").applyInPandas(_settle, "document_id long, community_id long")
+    part = connected_parts(edges)
+    settled = edges.join(part.withColumnRenamed("node", "a"), "a").groupBy("part").applyInPandas(_settle, "document_id long, community_id long")
     return docs.select("document_id").join(settled, "document_id", "left").select("document_id", F.coalesce("community_id", "document_id").alias("community_id"))
 
 

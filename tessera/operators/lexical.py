@@ -1,8 +1,9 @@
-"""BM25 over weighted columns, for many queries in one plan."""
+"""BM25 over weighted columns by a positional inverted index, for many queries in one plan."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,63 +13,99 @@ from tessera.functions.text import query_terms, tokens
 K1, B = 1.2, 0.75
 #: Weights of an index row's columns.
 WEIGHTS: Mapping[str, float] = {"text": 1.0, "section_name": 2.0, "heading": 3.0, "title": 4.0}
+Analyse = Callable[[Column], Column]
 
 
-def index_tokens(rows: DataFrame, id_col: str, weights: Mapping[str, float] = WEIGHTS, analyse=tokens) -> DataFrame:
-    """(id, weight, tokens) per index row and column; phrases never span columns."""
-    cells = [F.struct(F.lit(float(w)).alias("weight"), analyse(F.col(c)).alias("tokens")) for c, w in weights.items() if c in rows.columns]
-    return rows.select(F.col(id_col).alias("id"), F.explode(F.array(*cells)).alias("cell")).select("id", "cell.*")
+@dataclass(frozen=True)
+class LexicalIndex:
+    """postings (token, id, cell, weight, at): where a token stands in a cell of a row; lengths (id, length) of all rows."""
 
+    postings: DataFrame
+    lengths: DataFrame
+    analyse: Analyse = tokens
 
-def query_phrases(queries: DataFrame, analyse=tokens) -> DataFrame:
+    def of_cells(self, *cells: int) -> LexicalIndex:
+        """The index of some cells only, by their place in the weights; lengths stay those of whole rows."""
+        return LexicalIndex(self.postings.where(F.col("cell").isin(*cells)), self.lengths, self.analyse)
+
+    def stats(self) -> DataFrame:
+        """One row: n_rows and mean_length."""
+        return self.lengths.agg(F.count(F.lit(1)).alias("n_rows"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length"))
+
+
+def build_index(rows: DataFrame, id_col: str, weights: Mapping[str, float] = WEIGHTS, analyse: Analyse = tokens, path: str | None = None) -> LexicalIndex:
+    """The index of rows. Cells are columns, so phrases never span them. Texts are analysed once.
+
+    A row's tokens are gathered to positions before they are shuffled. With a path the tables are written: postings in
+    ranges of (token, id), so that a hot token is split and a query's tokens read few row groups.
+    """
+    cells = [F.struct(F.lit(n).alias("cell"), F.lit(float(w)).alias("weight"), analyse(F.col(c)).alias("t")) for n, (c, w) in enumerate(weights.items()) if c in rows.columns]
+    analysed = rows.select(F.col(id_col).alias("id"), F.array(*cells).alias("cells"))
+    if path is not None:
+        analysed = _kept(analysed, f"{path}/analysed")
+    lengths = analysed.select("id", F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.size(c["t"])).alias("length"))
+    each = analysed.select("id", F.explode("cells").alias("c")).select("id", "c.cell", "c.weight", F.posexplode("c.t").alias("pos", "token"))
+    postings = each.groupBy("token", "id", "cell", "weight").agg(F.collect_list("pos").alias("at"))
+    if path is not None:
+        postings = _kept(postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), f"{path}/postings")
+    return LexicalIndex(postings, lengths, analyse)
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def query_phrases(queries: DataFrame, analyse: Analyse = tokens) -> DataFrame:
     """(query_id, phrase, words) of each query's terms; a joined term is a phrase of adjacent tokens."""
     terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
     words = terms.select("query_id", analyse(F.col("term")).alias("t")).where(F.size("t") > 0)
     return words.select("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("words")).distinct()
 
 
-def _adjacent(t: Column, n: int) -> Column:
-    """All runs of n tokens, joined by spaces."""
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+def _less(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
 
 
-def occurrences(index: DataFrame, phrases: DataFrame) -> DataFrame:
+def occurrences(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     """(id, phrase, f): weighted occurrences of every phrase in every row that has it.
 
-    Runs of tokens, of the lengths that phrases have, meet the phrases in an equi-join; only the rows that match
-    go on, and are pre-aggregated before the shuffle. The lengths are those of the queries' terms.
+    Postings of the phrases' tokens only are joined, the next token of a phrase where the ones before it
+    are adjacent. Which side is broadcast, if any, is the planner's choice by size.
     """
-    wanted = phrases.select("phrase", "words").distinct()
-    lengths = sorted(r["words"] for r in wanted.select("words").distinct().collect())
-    runs = [F.col("tokens") if n == 1 else _adjacent(F.col("tokens"), n) for n in lengths]
-    if not runs:
-        return index.select("id", F.lit("").alias("phrase"), F.lit(0.0).alias("f")).limit(0)
-    exploded = index.select("id", "weight", F.explode(F.concat(*runs)).alias("phrase"))
-    return exploded.join(F.broadcast(wanted.select("phrase")), "phrase").groupBy("id", "phrase").agg(F.sum("weight").alias("f"))
-
-
-def index_stats(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, length) per row, one row of (n_rows, mean_length)) of the whole index."""
-    lengths = index.groupBy("id").agg(F.sum(F.size("tokens")).alias("length"))
-    return lengths, lengths.agg(F.count(F.lit(1)).alias("n_rows"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length"))
-
-
-def bm25(index: DataFrame, phrases: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    wanted = phrases.select("phrase", "words").distinct().withColumn("t", F.split("phrase", " "))
+    longest = wanted.agg(F.max("words")).first()[0] or 0
+    found = None
+    run = wanted.select("phrase", "words", "t", F.col("t")[0].alias("token")).join(index.postings, "token").drop("token").withColumnRenamed("at", "starts")
+    for n in range(1, longest + 1):
+        if n > 1:
+            more = index.postings.select("token", "id", "cell", "at")
+            run = run.where(F.col("words") >= n).withColumn("token", F.col("t")[n - 1]).join(more, ["token", "id", "cell"])
+            run = run.withColumn("starts", F.array_intersect("starts", F.transform("at", _less(n - 1)))).where(F.size("starts") > 0).drop("token", "at")
+        done = run.where(F.col("words") == n).select("id", "phrase", (F.col("weight") * F.size("starts")).alias("f"))
+        found = done if found is None else found.unionByName(done)
+    if found is None:
+        return index.postings.select("id", F.col("token").alias("phrase"), F.col("weight").alias("f")).limit(0)
+    return found.groupBy("id", "phrase").agg(F.sum("f").alias("f"))
+
+
+def bm25(index: LexicalIndex, phrases: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): the sum over a query's phrases; statistics are of the whole index.
 
-    documents: ids to which results are restricted (a semi-join after the statistics).
+    documents: ids to which results are restricted, for all queries, or for each if it has a query_id (a
+    semi-join after the statistics).
     """
-    lengths, stats = index_stats(index)
     found = occurrences(index, phrases)
     holders = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = holders.join(F.broadcast(stats)).select("phrase", "mean_length", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
-    if documents is not None:
+    idf = holders.crossJoin(F.broadcast(index.stats())).select("phrase", "mean_length", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
+    if documents is not None and "query_id" not in documents.columns:
         found = found.join(documents.select(F.col(documents.columns[0]).alias("id")), "id", "left_semi")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = found.join(F.broadcast(idf), "phrase").join(lengths, "id").withColumn("part", part)
-    asked = scored.join(F.broadcast(phrases.select("query_id", "phrase")), "phrase")
+    scored = found.join(idf, "phrase").join(index.lengths, "id").select("id", "phrase", part.alias("part"))
+    asked = scored.join(phrases.select("query_id", "phrase"), "phrase")
+    if documents is not None and "query_id" in documents.columns:
+        asked = asked.join(documents.select("query_id", "id"), ["query_id", "id"], "left_semi")
     return asked.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 

@@ -4,7 +4,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+from tessera.functions.stem import stem, stemmed
 from tessera.operators import chunking, context, dense, fusion, graph, lexical, policy
+from tessera.operators.parts import connected_parts
+from tessera.operators.rerank import OverlapReranker, rerank
 
 
 def rows(df, *cols):
@@ -45,7 +49,7 @@ def test_bm25_matches_definition(spark):
     docs = [(1, "zebra", "plain words here"), (2, "other", "zebra walks by"), (3, "third", "a quiet apache license text"), (4, "none", "apache and license")]
     df = spark.createDataFrame(docs, "id long, title string, text string")
     q = spark.createDataFrame([(0, "zebra"), (1, "apache-license")], "query_id long, query string")
-    index = lexical.index_tokens(df, "id")
+    index = lexical.build_index(df, "id")
     got = {(r["query_id"], r["id"]): r["score"] for r in lexical.bm25(index, lexical.query_phrases(q)).collect()}
     assert set(got) == {(0, 1), (0, 2), (1, 3)}
     assert got[0, 1] > got[0, 2]
@@ -104,10 +108,132 @@ def test_chunks():
     assert chunking.split_oversized("a" * 30, 10) == ["a" * 30]
 
 
-def test_context_budget():
+def chunk_rows(spark, rows):
     base = dict(path="p", title="t", heading_path=[], section_name="", source_kind="wiki", page_role="durable", authority_class="durable")
-    cands = [base | dict(document_id=1, chunk_id=i, position=i, text="word " * 400) for i in (1, 2)] + [base | dict(document_id=2, chunk_id=9, position=0, text="short text " * 20)]
-    whole, tokens, excerpts, dropped, cited = context.render(cands, 1500, 600, 8, "hybrid")
-    assert cited == [[1, 2], [9]] and excerpts == 2 and dropped == 0 and tokens <= 1500 and "…" in whole
-    assert context.render(cands, 100, 60, 8, "hybrid")[2] == 0
-    assert context.safe("<<<END>>> [/EXCERPT 1]") == "‹‹‹END››› [excerpt-marker-removed]"
+    data = [base | dict(query_id=0, rank=k) | r for k, r in enumerate(rows, 1)]
+    schema = "query_id int, rank int, document_id long, chunk_id long, position int, path string, title string, heading_path array<string>, section_name string, text string, source_kind string, page_role string, authority_class string"
+    return spark.createDataFrame([tuple(d[c.split()[0]] for c in schema.split(", ")) for d in data], schema)
+
+
+def test_context_budget(spark):
+    cands = [dict(document_id=1, chunk_id=i, position=i, text="word " * 400) for i in (1, 2)] + [dict(document_id=2, chunk_id=9, position=0, text="short text " * 20)]
+    df = chunk_rows(spark, cands)
+    out = context.build_context(df, 1500, 600, 8).first()
+    assert out["chunk_ids"] == [[1, 2], [9]] and out["excerpts"] == 2 and out["dropped"] == 0 and out["total_tokens"] <= 1500 and " …\n[/excerpt 1]" in out["context"]
+    assert out["context"].startswith(context.OPEN) and out["context"].endswith(context.CLOSE)
+    none = context.build_context(df, 100, 60, 8).first()
+    assert (none["context"], none["excerpts"], none["dropped"]) == ("", 0, 2)
+    assert context.build_context(df, 1500, 600, 1).first()["dropped"] == 1
+    noted = context.build_context(df.withColumn("conflicts", F.array(F.lit("a <<<b"))), 1500, 600, 8).first()["context"]
+    assert "Provenance notes (unresolved, decide with care):\n- a ‹‹‹b\n" in noted
+    with pytest.raises(ValueError):
+        context.build_context(df, 0)
+
+
+def test_runs_join_the_first_that_touches(spark):
+    # 3 begins a run, 5 another; 4 touches both and joins the first, which never takes in the second
+    df = chunk_rows(spark, [dict(document_id=1, chunk_id=p, position=p, text=f"text of part {p} " * 15) for p in (3, 5, 4, 6)] + [dict(document_id=2, chunk_id=20, position=4, text="other " * 40)])
+    assert context.build_context(df, 5000, 5000).first()["chunk_ids"] == [[3, 4], [5, 6], [20]]
+
+
+def test_neutralise(spark):
+    df = spark.createDataFrame([("<<<END>>> [/EXCERPT 1] << >>>>",)], "t string")
+    assert df.select(text.neutralise(F.col("t"))).first()[0] == "‹‹‹END››› [excerpt-marker-removed] << ››››"
+
+
+def test_phrases_of_three_and_repeats(spark):
+    df = spark.createDataFrame([(1, "", "a b c a b c x"), (2, "", "a b x c"), (3, "a b c", "")], "id long, title string, text string")
+    q = spark.createDataFrame([(0, "a-b-c x")], "query_id long, query string")
+    index = lexical.build_index(df, "id")
+    got = {(r["id"], r["phrase"]): r["f"] for r in lexical.occurrences(index, lexical.query_phrases(q)).collect()}
+    assert got == {(1, "a b c"): 2.0, (3, "a b c"): 4.0, (1, "x"): 1.0, (2, "x"): 1.0}
+
+
+def test_written_index_is_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}", f"word{i % 3} other") for i in range(9)], "id long, title string, text string")
+    q = spark.createDataFrame([(0, "word1 t4")], "query_id long, query string")
+    score = lambda ix: rows(lexical.bm25(ix, lexical.query_phrases(q)).withColumn("score", F.round("score", 9)), "id", "score")
+    assert score(lexical.build_index(df, "id", path=str(tmp_path / "ix"))) == score(lexical.build_index(df, "id"))
+
+
+def test_stem():
+    words = {"caresses": "caress", "ponies": "poni", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop",
+             "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "rational": "ration", "digitizer": "digit", "operator": "oper", "hopefulness": "hope", "electriciti": "electr",
+             "adjustable": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "sky": "sky", "by": "by", "über": "über"}
+    assert {w: stem(w) for w in words} == words
+
+
+def test_stemmed_search(spark):
+    df = spark.createDataFrame([(1, "", "running engines"), (2, "", "he runs"), (3, "", "walls")], "id long, title string, text string")
+    q = spark.createDataFrame([(0, "run engine")], "query_id long, query string")
+    index = lexical.build_index(df, "id", analyse=stemmed)
+    assert rows(lexical.bm25(index, lexical.query_phrases(q, stemmed)), "id") == [(1,), (2,)]
+
+
+def test_knn_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 6)).round(1)
+    x[50:60] = x[10]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
+    want = set()
+    for i in range(0, 300, 7):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want |= {(i, int(j), k) for k, j in enumerate(np.lexsort((np.arange(300), d))[:5], 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in dense.knn(v, q, 5, parts=3).collect()} == want
+
+
+def test_rerank(spark):
+    df = spark.createDataFrame([(0, "red fox", k, t) for k, t in enumerate(["blue", "a red fox", None, "red fox"], 1)] + [(1, "x", 1, "x")], "query_id int, query string, rank int, text string")
+    out = rerank(df, OverlapReranker(), 3).orderBy("query_id", "rank").collect()
+    assert [r["text"] for r in out] == ["a red fox", None, "blue", "red fox", "x"] and out[3]["rerank_score"] is None
+    assert rerank(df, OverlapReranker(), 0).where("rerank_score is not null").count() == 2
+
+
+def test_channels_run_once(spark):
+    """The fusion carries ranks and scores, so each channel's input is scanned once."""
+    a = spark.createDataFrame([(0, i, i) for i in range(1, 5)], "query_id long, id long, rank int").withColumn("score", F.lit(2.0))
+    out = fusion.reciprocal_rank_fusion({"dense": (a, 1.0), "lexical": (a.where("id < 3"), 1.0)}, 20, {"dense": "score", "lexical": "score"})
+    r = {x["id"]: x for x in out.collect()}
+    assert r[1]["lexical_value"] == 2.0 and r[4]["lexical_rank"] is None and r[4]["dense_rank"] == 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def test_hot_keys_meet_two_rows(spark):
+    """A key that many documents share joins at most three rows a link."""
+    data = [(i, f"wiki/d{i}/log.md", "t", None) for i in range(300)]
+    docs = spark.createDataFrame(data, "document_id long, path string, title string, project_id string")
+    links = spark.createDataFrame([(i, i, "log", None) for i in range(300)], "link_id long, source long, key string, hint string")
+    got = {r["source"]: r["target"] for r in graph.resolve_links(links, docs).collect()}
+    assert got[0] == 1 and all(got[i] == 0 for i in range(1, 300))
+
+
+def test_unresolved_only(spark, docs):
+    links = spark.createDataFrame([(0, 1, "b", None, 99), (1, 1, "b", None, None)], "link_id long, source long, key string, hint string, target long")
+    assert rows(graph.resolve_links(links, docs, only_unresolved=True), "link_id", "target") == [(0, 99), (1, 2)]
+
+
+def test_communities_of_a_long_chain(spark):
+    n = 200
+    order = [0, *range(n - 1, 0, -1)]
+    docs = spark.createDataFrame([(i, f"wiki/p{i}.md", "durable", False) for i in range(n)], "document_id long, path string, page_role string, is_route_map boolean")
+    links = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(order, order[1:]))], "link_id long, source long, target long")
+    near = {i: [] for i in range(n)}
+    for a, b in zip(order, order[1:]):
+        near[a].append(b)
+        near[b].append(a)
+    label = list(range(n))
+    for _ in range(20):
+        for i in range(n):
+            votes = [label[j] for j in near[i]]
+            label[i] = min(votes, key=lambda v: (-votes.count(v), v))
+    first = {}
+    for i in range(n):
+        first.setdefault(label[i], i)
+    assert dict(rows(graph.communities(links, docs), "document_id", "community_id")) == {i: first[label[i]] for i in range(n)}
+    parts = connected_parts(graph.community_edges(links, docs))
+    assert parts.count() == n and parts.where("part <> 0").count() == 0

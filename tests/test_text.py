@@ -11,9 +11,9 @@ def one(spark, value, f):
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("what is the sqlite-vec limit", '"sqlite-vec" OR "limit"'),
-        ('foo AND NOT bar* (baz:qux) "quoted"', '"foo" OR "bar" OR "baz" OR "qux" OR "quoted"'),
-        ("Vec vec VEC", '"Vec"'),
+        ("which is the row-group limit", '"row-group" OR "limit"'),
+        ('one AND NOT two* (three:four) "five"', '"one" OR "two" OR "three" OR "four" OR "five"'),
+        ("Row row ROW", '"Row"'),
         ("the of and", ""),
         (None, ""),
     ],
@@ -44,16 +44,16 @@ def test_neutralise(spark, value, expected):
 @pytest.mark.parametrize(
     ("path", "expected"),
     [
-        ("Clippings/ideas/vector-idea.md", ("clipping", "idea", None, False)),
-        ("TODO.md", ("operational", "operational", None, False)),
-        ("raw/papers/rrf-paper.md", ("raw", "evidence", None, False)),
-        ("wiki/fastembed.md", ("wiki", "durable", None, False)),
-        ("wiki/index-tools.md", ("wiki", "route-map", None, True)),
+        ("Clippings/ideas/lamp.md", ("clipping", "idea", None, False)),
+        ("shopping.md", ("operational", "operational", None, False)),
+        ("raw/papers/columns.md", ("raw", "evidence", None, False)),
+        ("wiki/harbour.md", ("wiki", "durable", None, False)),
+        ("wiki/index-boats.md", ("wiki", "route-map", None, True)),
         ("wiki/log.md", ("wiki", "log", None, False)),
-        ("wiki/projects/rag/current-state.md", ("wiki", "current-state", "rag", False)),
-        ("wiki/projects/rag/decisions.md", ("wiki", "decision", "rag", False)),
-        ("wiki/projects/rag/index.md", ("wiki", "route-map", "rag", False)),
-        ("wiki/projects/rag/notes.md", ("wiki", "project", "rag", False)),
+        ("wiki/projects/quay/current-state.md", ("wiki", "current-state", "quay", False)),
+        ("wiki/projects/quay/decisions.md", ("wiki", "decision", "quay", False)),
+        ("wiki/projects/quay/index.md", ("wiki", "route-map", "quay", False)),
+        ("wiki/projects/quay/notes.md", ("wiki", "project", "quay", False)),
     ],
 )
 def test_classify(spark, path, expected):
@@ -62,7 +62,7 @@ def test_classify(spark, path, expected):
 
 @pytest.mark.parametrize(
     ("raw", "key", "hint"),
-    [("sqlite-vec", "sqlite-vec", None), ("projects/rag/X#S|t", "x", "projects/rag/x"), ("/a/b.md", "b", "a/b"), ("|x", "", None)],
+    [("side-note", "side-note", None), ("projects/quay/X#S|t", "x", "projects/quay/x"), ("/a/b.md", "b", "a/b"), ("|x", "", None)],
 )
 def test_link_target(spark, raw, key, hint):
     assert tuple(one(spark, raw, paths.link_target)) == (key, hint)
@@ -80,14 +80,14 @@ def test_profiles_reject_unknown():
         ("", False, "empty"),
         ("thanks!", False, "greeting-or-ack"),
         ("see ```x``` here", False, "contains-code-block"),
-        ("why did we choose fusion over sums", True, "question-like"),
-        ("what happened on 2026-08-30 in the log", True, "chronology-cue"),
-        ("what does the paper say about Condorcet", True, "evidence-cue"),
-        ("project: rag storage layout", True, "project-cue:rag"),
-        ("check the wiki for embedding models", True, "explicit-wiki-reference"),
-        ("run tests and deploy images", False, "imperative-command"),
-        ("alpha beta gamma delta epsilon zeta", True, "long-informative-statement"),
-        ("alpha beta", False, "no-retrieval-cue"),
+        ("why was parquet picked instead of avro", True, "question-like"),
+        ("what happened on 2025-02-11 after lunch", True, "chronology-cue"),
+        ("quote the article about tides", True, "evidence-cue"),
+        ("project: quay crane layout", True, "project-cue:quay"),
+        ("look up the tide tables in our notes", True, "explicit-wiki-reference"),
+        ("delete the stale branches", False, "imperative-command"),
+        ("north south east west up down", True, "long-informative-statement"),
+        ("north south", False, "no-retrieval-cue"),
     ],
 )
 def test_route(spark, query, retrieve, reason):
@@ -96,7 +96,17 @@ def test_route(spark, query, retrieve, reason):
 
 
 def test_decompose(spark):
-    q = "how does rank fusion work; what is the chunk limit for storage"
-    assert one(spark, q, intent.decompose) == ["how does rank fusion work", "what is the chunk limit for storage"]
+    q = "how do cranes turn around; which berth is the deepest one"
+    assert one(spark, q, intent.decompose) == ["how do cranes turn around", "which berth is the deepest one"]
     assert one(spark, "short one", intent.decompose) == ["short one"]
     assert one(spark, "", intent.decompose) == []
+
+
+def test_known_projects(spark):
+    r = one(spark, "layout of the Quay cranes today", lambda c: intent.route(c, known_projects=("barge", "quay")))
+    assert (r["reason"], r["profile"]) == ("project-cue:quay", "project:quay")
+    assert one(spark, "project: other crane layout", lambda c: intent.route(c, known_projects=("barge",)))["reason"] != "project-cue:other"
+
+
+def test_truncate_strips_what_it_leaves(spark):
+    assert one(spark, "abc def \n\t\nxyz" + "z" * 20, lambda c: text.truncate(c, F.lit(3))) == "abc def …"
