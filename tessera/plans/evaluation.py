@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +84,84 @@ def citation_fidelity(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("question_id").agg(F.avg((same & placed).cast("double")).alias("citation_fidelity"))
 
 
+def diagnostics(candidates: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """(query_id, signals) for later calibration, null where a query has nothing to tell them from.
+
+    candidates: query_id, rank, score, dense_rank, lexical_rank, distance, bm25, authority_match and, if reranked, rerank_score.
+    conflicts: (query_id, label), counted.
+    """
+    at = lambda r, c: F.max(F.when(F.col("rank") == r, c))
+    both = (F.col("dense_rank").isNotNull() & F.col("lexical_rank").isNotNull()).cast("double")
+    told = F.col("rerank_score") if "rerank_score" in candidates.columns else F.lit(None).cast("double")
+    out = candidates.groupBy("query_id").agg(
+        F.min("distance").alias("dense_top_distance"),
+        F.max("bm25").alias("bm25_top_score"),
+        at(1, F.col("score")).alias("rrf_top"),
+        (at(1, F.col("score")) - at(2, F.col("score"))).alias("rrf_margin"),
+        (F.sum(F.when(F.col("rank") <= 5, both).otherwise(0.0)) / 5).alias("channel_agreement_top5"),
+        at(1, both).alias("top1_in_both_channels"),
+        at(1, told).alias("rerank_top"),
+        at(1, F.coalesce(F.col("authority_match"), F.lit(False)).cast("double")).alias("authority_top1"),
+        F.count(F.lit(1)).cast("double").alias("n_candidates"),
+    )
+    if conflicts is None:
+        return out.withColumn("n_conflicts", F.lit(0.0))
+    n = conflicts.groupBy("query_id").agg(F.count(F.lit(1)).cast("double").alias("n_conflicts"))
+    return out.join(n, "query_id", "left").na.fill(0.0, ["n_conflicts"])
+
+
 def aggregate(outcomes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Means over the outcomes (hit_at_5, reciprocal_rank, ...) and interpolated latency percentiles."""
+    """Means over the questions to be answered, and interpolated latency percentiles over all without an error.
+
+    outcomes: hit_at_k and recall_at_k, reciprocal_rank, ndcg_at_10, elapsed_ms; if there, mode (retrieve where there is none), error
+    ("" where none), has_conflict, authority_top1, duplicate_share, citation_fidelity.
+    """
+    have = lambda c, other: F.coalesce(F.col(c), other) if c in outcomes.columns else other
+    fine = have("error", F.lit("")) == ""
+    asked = fine & (have("mode", F.lit("retrieve")) == "retrieve")
+    mean = lambda c, out, when=asked: F.avg(F.when(when, F.col(c).cast("double"))).alias(out)
+    named = {"hit_at_1": "hit_at_1", "hit_at_5": "hit_at_5", "recall_at_10": "recall_at_10", "reciprocal_rank": "mrr", "ndcg_at_10": "ndcg_at_10"}
+    also = {"has_conflict": "conflict_rate", "authority_top1": "authority_top1", "duplicate_share": "duplicate_share"}
     return outcomes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("hit_at_1").alias("hit_at_1"),
-        F.avg("hit_at_5").alias("hit_at_5"),
-        F.avg("recall_at_10").alias("recall_at_10"),
-        F.avg("reciprocal_rank").alias("mrr"),
-        F.avg("ndcg_at_10").alias("ndcg_at_10"),
-        F.percentile("elapsed_ms", F.lit(0.5)).alias("p50_ms"),
-        F.percentile("elapsed_ms", F.lit(0.95)).alias("p95_ms"),
+        F.count_if(asked).alias("n_retrieve"),
+        F.count_if(fine & ~asked).alias("n_abstain"),
+        F.count_if(~fine).alias("errors"),
+        *(mean(c, out) for c, out in named.items()),
+        *(mean(c, out) for c, out in also.items() if c in outcomes.columns),
+        *([mean("citation_fidelity", "citation_fidelity", fine)] if "citation_fidelity" in outcomes.columns else []),
+        F.percentile(F.when(fine, F.col("elapsed_ms")), F.lit(0.5)).alias("p50_ms"),
+        F.percentile(F.when(fine, F.col("elapsed_ms")), F.lit(0.95)).alias("p95_ms"),
+    )
+
+
+def latest(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """The row with the greatest `at` of each key, by one aggregation; of equal ones the greatest row."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(at).alias("__at"), *rest)).alias("__row"))
+    return best.select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
+
+
+def bench_latency(samples: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(by, p50, p95, n): the median, and the value at place int(n * 0.95) of the sorted samples, counted from one; the only one of one."""
+    sorted_ = samples.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("p50"), F.array_sort(F.collect_list(column)).alias("all"))
+    place = F.greatest(F.floor(F.size("all") * 0.95).cast("int"), F.lit(1))
+    return sorted_.select(*by, "p50", F.element_at("all", place).alias("p95"), F.size("all").cast("long").alias("n"))
+
+
+def routing_report(questions: DataFrame, route: Column) -> DataFrame:
+    """One row: n, recall of questions to be answered, accuracy of their profile, leakage of those to abstain on.
+
+    questions: query, mode, profile; route: the router's struct over them.
+    """
+    rows = questions.select("mode", "profile", route.alias("r"))
+    asked, sent = F.col("mode") == "retrieve", F.col("r.retrieve")
+    share = lambda a, b: F.when(F.count_if(b) > 0, F.count_if(a) / F.count_if(b)).otherwise(0.0)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        share(asked & sent, asked).alias("retrieve_routed_recall"),
+        share(asked & sent & (F.col("r.profile") == F.col("profile")), asked & sent).alias("profile_accuracy"),
+        share(~asked & sent, ~asked).alias("abstain_routed_to_retrieve"),
     )
 
 
@@ -105,31 +174,74 @@ def regressions(base: DataFrame, candidate: DataFrame) -> DataFrame:
     return out.withColumn("drop", F.col("base") - F.col("candidate")).withColumn("regressed", F.col("drop") > F.col("tolerance"))
 
 
+#: Leading hex digits of a path's hash that name its bucket.
+FINGERPRINT_DIGITS = 3
+
+
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:
-    """SHA-256 over sorted path and hash lines. The lines are sorted by ranges and joined once, a line per document."""
-    line = F.concat_ws("\t", "path", "content_hash")
-    return docs.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("fingerprint"))
+    """One row, fingerprint: of path and hash lines, sorted within buckets of the path's hash, then of the buckets in order.
 
+    A bucket's lines meet in one row, a 4096th of the documents each; the last step holds 4096 hashes. A fingerprint is only
+    compared with another of its kind.
+    """
+    line = F.concat("path", F.lit("\t"), "content_hash", F.lit("\n"))
+    bucket = F.substring(F.sha2("path", 256), 1, FINGERPRINT_DIGITS).alias("bucket")
+    parts = docs.groupBy(bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("hash"))
+    joined = F.array_sort(F.collect_list(F.concat("bucket", F.lit(":"), "hash")))
+    return parts.agg(F.sha2(F.array_join(joined, ","), 256).alias("fingerprint"))
 
-def validate_golden(questions: DataFrame, paths: DataFrame) -> DataFrame:
-    """(question_id, problem) of a golden set (question_id, query, split, mode, relevant: array of paths) against known paths."""
-    twice = questions.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("question_id", F.lit("duplicate id").alias("problem"))
-    row = lambda cond, text: questions.where(cond).select("question_id", F.lit(text).alias("problem"))
-    named = questions.select("question_id", F.explode("relevant").alias("path"))
-    bad = named.where(F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")).select("question_id", F.lit("path not relative").alias("problem"))
-    lost = named.join(paths, "path", "left_anti").select("question_id", F.lit("unknown path").alias("problem"))
-    return (
-        twice.unionByName(row("trim(query) = ''", "empty query"))
-        .unionByName(row("split not in ('dev', 'heldout')", "unknown split"))
-        .unionByName(row("mode = 'abstain' and size(relevant) > 0", "abstain with sources"))
-        .unionByName(row("mode <> 'abstain' and size(relevant) = 0", "no sources"))
-        .unionByName(bad)
-        .unionByName(lost)
-        .distinct()
-    )
+
+# Categories of a golden set in order, splits, classes a question may expect, modes and plain profiles.
+CATEGORIES = ("current-state", "decision", "exact-term", "concept", "evidence", "chronology", "ambiguity", "no-answer")
+SPLITS = ("dev", "heldout")
+EXPECTED = ("current-state", "decision", "durable", "evidence", "log", "idea", "none")
+QUESTION_MODES = ("retrieve", "abstain")
+PROFILES = ("answer", "evidence", "history", "all", "current")
 
 
-def stratification(questions: DataFrame) -> DataFrame:
-    """(category, n, heldout, complete): every category must be held out too."""
-    per = questions.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("split") == "heldout").cast("int")).alias("heldout"))
-    return per.withColumn("complete", F.col("heldout") > 0)
+def validate_golden(questions: DataFrame, paths: DataFrame | None = None, headings: DataFrame | None = None) -> DataFrame:
+    """(question_id, problem) of a golden set (question_id, category, split, authority_class, mode, query, profile, relevant:
+    array of struct(path, sections)), against known paths (path) and their headings (path, heading), if given."""
+    twice = questions.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("question_id", F.lit("duplicate id").alias("problem"))
+    unknown = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    named = F.col("profile").startswith("project:") & (F.length("profile") > len("project:"))
+    rules = (
+        (unknown("category", CATEGORIES), "unknown category"),
+        (unknown("split", SPLITS), "unknown split"),
+        (unknown("authority_class", EXPECTED), "unknown authority class"),
+        (unknown("mode", QUESTION_MODES), "unknown mode"),
+        (F.trim(F.coalesce("query", F.lit(""))) == "", "empty query"),
+        (unknown("profile", PROFILES) & ~F.coalesce(named, F.lit(False)), "invalid profile"),
+        ((F.col("mode") == "abstain") & (F.size("relevant") > 0), "abstain with sources"),
+        ((F.col("mode") == "abstain") & (F.col("authority_class") != "none"), "abstain with a class"),
+        ((F.col("mode") != "abstain") & (F.size("relevant") <= 0), "no sources"),
+    )
+    found = F.array_compact(F.array(*(F.when(cond, F.lit(told)) for cond, told in rules)))
+    out = twice.unionByName(questions.select("question_id", F.explode(found).alias("problem")))
+    source = questions.select("question_id", F.explode("relevant").alias("r")).select("question_id", "r.path", "r.sections")
+    outside = F.col("path").startswith("/") | F.contains("path", F.lit("\\")) | F.array_contains(F.split("path", "/"), "..")
+    out = out.unionByName(source.where(outside).select("question_id", F.lit("path not relative").alias("problem")))
+    if paths is not None:
+        out = out.unionByName(source.join(paths, "path", "left_anti").select("question_id", F.lit("unknown path").alias("problem")))
+        source = source.join(paths, "path", "left_semi")
+    if headings is not None:
+        pinned = source.select("question_id", "path", F.explode("sections").alias("heading"))
+        out = out.unionByName(pinned.join(headings, ["path", "heading"], "left_anti").select("question_id", F.lit("unknown heading").alias("problem")))
+    return out.distinct()
+
+
+def counts_by_split(questions: DataFrame) -> DataFrame:
+    """(category, dev, heldout): how many questions of each split."""
+    return questions.groupBy("category").pivot("split", list(SPLITS)).count().na.fill(0, list(SPLITS))
+
+
+def stratification(questions: DataFrame, least: int = 60, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """(category, n, heldout, problem): every category must be there and be held out too; `problem` is null where all is well. The
+    row of the null category tells whether there are `least` questions."""
+    spark = questions.sparkSession
+    per = questions.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "heldout").alias("heldout"))
+    known = spark.range(1).select(F.explode(F.array(*(F.lit(c) for c in categories))).alias("category"))
+    rows = known.join(per, "category", "left").na.fill(0, ["n", "heldout"])
+    rows = rows.withColumn("problem", F.when(F.col("n") == 0, "no questions").when(F.col("heldout") == 0, "no held-out questions"))
+    total = questions.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "heldout").alias("heldout"))
+    return rows.unionByName(total.select(F.lit(None).cast("string").alias("category"), "n", "heldout", F.when(F.col("n") < least, "too few questions").alias("problem")))

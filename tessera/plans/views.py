@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import META, classify
 
-#: Search texts that batch queries ask, with an id each.
+#: Search texts that the batch's queries ask in turn.
 SEARCHES = (
     (0, "the entry of ing thand tionble"),
     (1, "licensed under the Apache-License"),
@@ -16,29 +16,32 @@ SEARCHES = (
     (4, "Doc 17 que ciónmente"),
     (5, "über größe thatand ment-ion"),
 )
+#: Every vector whose id this divides is a query, against all rows.
+QUERY_STEP = 100
 #: Texts for the rules over queries.
 ASKED = (
     (0, ""),
-    (1, "hello there"),
-    (2, "thanks!"),
-    (3, "what is the sqlite-vec limit"),
-    (4, "why did we choose rank fusion over weighted sums"),
-    (5, "what happened on 2026-08-30 in the log"),
-    (6, "what does the RRF paper say about Condorcet"),
-    (7, "current status of the embeddings pipeline"),
-    (8, "compare FastEmbed versus sqlite-vec storage limits and how does the arena grow"),
-    (9, "run the tests and deploy"),
-    (10, "check the wiki for embedding models"),
-    (11, "project: rag storage layout and vectors"),
+    (1, "good morning!"),
+    (2, "ok."),
+    (3, "which port does the gateway use"),
+    (4, "why was parquet picked instead of avro files"),
+    (5, "what happened on 2025-02-11 after the restart"),
+    (6, "quote the article about columnar storage"),
+    (7, "latest status of the billing migration"),
+    (8, "compare broadcast joins versus sorted merges and how does skew change them"),
+    (9, "delete the stale branches now"),
+    (10, "look up the retention rules in our notes"),
+    (11, "project: p3 ingest layout and partitions"),
     (12, "foo AND NOT bar* (baz:qux) \"quoted\""),
-    (13, "Vec vec VEC"),
-    (14, "alpha beta gamma delta epsilon zeta eta"),
-    (15, "look at ```code``` please now"),
+    (13, "Row row ROW"),
+    (14, "north south east west up down"),
+    (15, "see ```select 1``` there please"),
     (16, "the of and"),
-    (17, "how does fusion work; what is the chunk limit and why is it so low?"),
+    (17, "when do snapshots expire; what is the row limit and why is it so low?"),
+    (18, "entry rights and also reserved license versus thand ing"),
 )
 RAW_LINKS = (
-    (0, "sqlite-vec"), (1, "projects/rag/Current-State#Status|state"), (2, "/wiki/fastembed.md"), (3, "  |x"), (4, "A/B/c.md"), (5, "Note Name|alias"), (6, "#only"),
+    (0, "side-note"), (1, "projects/p2/Plans#Later|plans"), (2, "/wiki/harbour.md"), (3, "  |x"), (4, "C/d/E.md"), (5, "Long Name|short"), (6, "#only"),
 )
 
 
@@ -77,11 +80,16 @@ def body() -> F.Column:
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(link_id, source, key, hint): each document links to two others by the stem of their path."""
+    """(link_id, source, key, hint): each document has four links. Two name others by the stem of their path, the third by the
+    path from the root, the fourth by the path's last two parts or, every other time, relative to its own folder."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    to = docs.crossJoin(F.broadcast(n)).select(
-        F.col("document_id").alias("source"), "n", F.posexplode(F.array((F.col("document_id") * 7 + 3) % F.col("n"), (F.col("document_id") * 13 + 5) % F.col("n"))).alias("k", "aim")
-    )
-    stem = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
-    names = docs.select(F.col("document_id").alias("aim"), stem.alias("key"))
-    return to.join(names, "aim").select((F.col("source") * 2 + F.col("k")).alias("link_id"), "source", "key", F.lit(None).cast("string").alias("hint"))
+    i = F.col("document_id")
+    aims = F.array((i * 7 + 3) % F.col("n"), (i * 13 + 5) % F.col("n"), (i * 11 + 2) % F.col("n"), (i * 5 + 4) % F.col("n"))
+    to = docs.crossJoin(F.broadcast(n)).select(i.alias("source"), F.posexplode(aims).alias("k", "aim"))
+    whole = F.lower(F.regexp_replace("path", r"\.md$", ""))
+    names = docs.select(i.alias("aim"), whole.alias("whole"))
+    parts = F.split("whole", "/")
+    tail = F.array_join(F.slice(parts, -2, 2), "/")
+    hint = F.when(F.col("k") == 2, F.col("whole")).when((F.col("k") == 3) & (F.col("source") % 2 == 0), tail).when(F.col("k") == 3, F.concat(F.lit("../"), tail))
+    rows = to.join(names, "aim")
+    return rows.select((F.col("source") * 4 + F.col("k")).alias("link_id"), "source", F.element_at(parts, -1).alias("key"), hint.alias("hint"))
