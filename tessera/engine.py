@@ -25,6 +25,7 @@ from tessera.plans.projection import integrity, summary
 from tessera.settings import Settings
 from tessera.sources.embedding import Embedder
 from tessera.sources.vault import Projection, contained, relative_path, safe_message
+from tessera.sources.working import materialised
 
 #: Results, related pages and decisions that a call returns or an engine remembers at most.
 MOST_RESULTS, MOST_RELATED, DECISIONS = 20, 50, 50
@@ -102,7 +103,7 @@ class Engine:
         """One query's results as plain values, with citations and, if wanted, the context."""
         most = min(max(max_results or self.settings.k_final, 1), MOST_RESULTS)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        found = self.search(asked, profile, mode).where(F.col("rank") <= most).persist()
+        found = materialised(self.search(asked, profile, mode).where(F.col("rank") <= most), "candidates")
         excerpt = F.when(F.length("text") > 600, F.concat(F.left("text", F.lit(600)), F.lit(" …"))).otherwise(F.col("text"))
         columns = ("rank", "path", "title", "section_name", "position", "authority_class", "authority_match", "source_kind", "page_role", "project_id", "score")
         results = [r.asDict() for r in found.orderBy("rank").select(*(c for c in columns if c in found.columns), F.left("text_hash", F.lit(16)).alias("chunk_hash"), excerpt.alias("excerpt")).collect()]
@@ -112,7 +113,6 @@ class Engine:
         if include_context:
             block = self.context(found).first()
             out |= {"context": block["context"] if block else "", "context_tokens": block["total_tokens"] if block else 0}
-        found.unpersist()
         return out
 
     def related(self, path: str, limit: int = 20) -> dict:
@@ -213,9 +213,7 @@ class Engine:
 
     def _gathered(self, asked: DataFrame, profile: str) -> DataFrame:
         """One query's few candidates, computed."""
-        found = self.search(asked, profile, rerank=False).persist()
-        found.count()
-        return found
+        return materialised(self.search(asked, profile, rerank=False), "candidates")
 
     def _vectors(self) -> DataFrame:
         return self.projection.read("vectors").select(F.col("chunk_id").alias("vec_id"), "embedding")

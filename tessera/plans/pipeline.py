@@ -16,6 +16,7 @@ from tessera.operators.lexical import WEIGHTS, LexicalIndex, bm25, build_index,
 from tessera.operators.policy import authority_policy, conflict_labels, recency
 from tessera.operators.rerank import Reranker, rerank
 from tessera.settings import Settings
+from tessera.sources.working import materialised
 
 META = ("document_id", "path", "source_kind", "page_role", "project_id", "is_route_map", "updated_at_ns")
 
@@ -95,8 +96,8 @@ def search(
         channels["lexical"] = (lexical_channel(index, asked, allowed, s.k_lexical), s.lexical_weight)
     carry = {"dense": "distance", "lexical": "score", "graph": "score"}
     if links is not None:
-        # the channels feed both fusions; caching keeps their few rows
-        channels = {name: (df.persist(), w) for name, (df, w) in channels.items()}
+        # the channels feed both fusions; their few rows are written once
+        channels = {name: (materialised(df, name), w) for name, (df, w) in channels.items()}
         channels["graph"] = (graph_channel(reciprocal_rank_fusion(channels, s.rrf_k), rows, links, index, asked, s.k_lexical, s), s.graph_weight)
     fused = reciprocal_rank_fusion(channels, s.rrf_k, carry)
     names = {"dense": "distance", "lexical": "bm25", "graph": "graph_bm25"}

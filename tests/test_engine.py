@@ -140,7 +140,8 @@ def test_inject(engine):
     e = make(certified, **on)
     done = e.inject("where do ships pay harbour dues?")
     assert done["inject"] and "harbour" in done["context"] and "context" not in e.decisions[-1]
-    assert make(Gate({}, -9.0, 0.5, {"safety_passed": True}), **on).inject("where do ships pay harbour dues?")["reason"] == "below-threshold"
+    low = make(Gate({}, -9.0, 0.5, {"safety_passed": True}), **on).inject("where do ships pay harbour dues?")
+    assert low["reason"] == "below-threshold", low
     assert make(certified, inject=True, inject_deadline_ms=1).inject("where do ships pay harbour dues?")["reason"] == "timeout"
     broken = make(certified, **on)
     broken.projection = None

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import evaluation, gate, projection
 from tessera.sources.vault import Projection, changes, needs_reembed, parse, reuse_chunks, scan, split_frontmatter
-from tessera.streaming.watch import bursts, may_start, relevant_events, watch
+from tessera.streaming.watch import Watcher, bursts, may_start, relevant_events, watch
 
 
 def test_metrics(spark):
@@ -106,3 +106,27 @@ def test_watch_stream(spark, tmp_path):
     q = watch(stream, lambda df, i: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert "a.md" in seen
+
+
+def test_watcher_states(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    for k, hour in enumerate((0, 1, 3)):
+        _events(spark, [(t + dt.timedelta(hours=hour), "modified", f"{k}.md", None, False)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    p, seen = Projection(spark, str(tmp_path / "proj")), []
+    w = Watcher(p, stream, lambda df, i: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "cp"))
+    assert w.state == "idle" and w.start() == "refused" and w.reason == "no projection"
+    p.write({"documents": spark.range(1)})
+    assert w.start() == "refused" and "never filled" in w.reason
+    one = spark.range(300).select(F.col("id").alias("chunk_id"))
+    p.write({"chunks": one, "vectors": one.limit(10)})
+    assert w.start() == "refused" and "lack vectors" in w.reason
+    p.write({"vectors": one})
+    assert w.start(once=True) == "running"
+    w._query.awaitTermination(120)
+    assert w.state == "stopped" and seen and w.status()["batches"] > 0 and w.stop() == "stopped"
+    bad = Watcher(p, stream, lambda df, i: 1 / 0, str(tmp_path / "cp2"))
+    bad.start(once=True)
+    with pytest.raises(Exception):
+        bad._query.awaitTermination(120)
+    assert bad.state == "failed" and "ZeroDivision" in bad.reason
