@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_table_path
+from tessera.llm.common import frugal, new_table_path, small_batches, written
 from tessera.llm.tokens import encoder
 
 #: Bytes of text that one file takes in at most, by the mean; sets the number of files.
@@ -42,7 +42,7 @@ def _encode(path: str, end_id: int):
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
 
-    return run
+    return frugal(run)
 
 
 def write_token_files(
@@ -84,7 +84,8 @@ def write_token_files(
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
     elif encoding != "dictionary":
         raise ValueError(f"unknown encoding {encoding!r}")
-    writer.parquet(path)
+    with small_batches(docs.sparkSession):
+        writer.parquet(path)
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +103,15 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids from written files; start counts the ids of all documents before.
 
-    The sums of the parts are read from two columns only and hold one row per file.
+    A table of the files' sums, one row per file, is joined to the rows; running sums over it are made in one
+    task, of as many rows as there are files. It is broadcast if Spark's threshold allows.
     """
     table = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    before, total = [], 0
-    for part, n in sums:
-        before.append((part, total))
-        total += n
-    starts = F.create_map(*(F.lit(x) for pair in before for x in pair)) if before else None
-    base = starts[F.col("part")] if starts is not None else F.lit(0)
-    return table.select("doc_id", (F.col("local_start") + base).cast("long").alias("start"), "n_tokens", "ids")
+    sums = table.groupBy(F.col("part").alias("of")).agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(sums.select("of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "sums")
+    starts = (F.col("local_start") + F.col("before")).cast("long").alias("start")
+    return table.join(sums, F.col("part") == F.col("of")).select("doc_id", starts, "n_tokens", "ids")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, encoding: str = "dictionary") -> DataFrame:

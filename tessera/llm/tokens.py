@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are split into words at a time.
-SLICE_BYTES = 4 << 20
-#: Words that the cache of a Python worker holds at most; the older half goes first.
-CACHE_WORDS = 600_000
+#: Bytes of text that are split into pieces at a time.
+SLICE_BYTES = 8 << 20
+#: Pieces that the cache of a Python worker holds at most; the older half goes first.
+CACHE_PIECES = 500_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,15 +36,29 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
+# kinds of bytes; a Latin letter beyond ASCII has two bytes of kind LETTER
+WHITE, LETTER, DIGIT, MARK, OTHER = range(5)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[:0x80] = MARK
+_KIND[0x1C:0x20] = OTHER  # white space to some
+_KIND[[0x20, *range(0x09, 0x0E)]] = WHITE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LOW_SECOND = np.arange(256, dtype=np.uint8)
+_LOW_SECOND[[*range(0x80, 0x97), *range(0x98, 0x9F)]] += 0x20
+
+
 class WordEncoder:
-    """Encodes texts word by word where that is exact, and whole where it is not.
-
-    Two kinds of file are known. In the one (`spaced`) a byte-level pre-tokenizer puts a
-    single space with the piece after it, so the ids of a text are those of its words, each with
-    the space or newline before it, as long as no white space adjoins another. In the
-    other white space is dropped, so words are always independent. Words of Latin letters go to
-    the vocabulary's merges directly, other words through the whole encoder, and texts with
-    unusual white space, or files of another kind, as whole texts.
+    """Encodes texts piece by piece where that is exact, word by word or whole where it is not.
+
+    Two kinds of file are known. In the one (`spaced`) a byte-level pre-tokenizer makes runs of letters, of digits
+    and of marks, each with a single space before it, and runs of white space without their last character, if a word follows. In the
+    other white space is dropped, letters are lower-cased, and digits are single. Runs of ASCII and of Latin-1 letters are
+    found for all bytes at once, and a distinct run goes to the vocabulary's merges; a word with any other
+    character, an apostrophe or an added token goes through the whole encoder. Texts with white space
+    beyond ASCII, and files of another kind, are encoded as whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,80 +68,104 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # words are cached here
+            self.model._resize_cache(0)  # pieces are cached here
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm
         steps = [p.get("type") for p in pre.get("pretokenizers", [])]
         self.dropped = steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed"
-        self.special = [a["content"] for a in spec.get("added_tokens", [])]
+        self.special = [a["content"].encode() for a in spec.get("added_tokens", []) if a["content"]]
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4") if self.wide else np.dtype("<u2")
         self.table = byte_alphabet()
         self.code = "I" if self.wide else "H"
         self.space = self.table[0x20]
-        self.simple = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+        self.most = CACHE_PIECES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _shown(self, piece: str) -> str:
-        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            shown = mark.encode().decode("latin-1").translate(self.table)
-            self.marks[mark] = self._pack([t.id for t in self.model.tokenize(shown)])
-        return self.marks[mark]
-
-    def _new(self, word: str) -> bytes | None:
-        """The ids of a word with its leading space or newline, or None where only the whole text tells."""
-        m = self.simple.fullmatch(word)
-        if m and len(word) < 64:
-            lead, stem, end = m.groups()
-            if self.dropped:
-                plain = stem.lower()
-            else:
-                plain = stem if lead == "\n" else lead + stem
-            ids = None
-            if plain != word:
-                ids = self.young.get(plain) or self.old.get(plain)
-            if ids is None:
-                spaced = self.spaced and lead == " "
-                shown = self._shown(plain[1:] if spaced else plain)
-                ids = self._pack([t.id for t in self.model.tokenize(self.space + shown if spaced else shown)])
-                self.young[plain] = ids
-            if end:
-                ids += self._mark(end)
-            return self._mark("\n") + ids if self.spaced and lead == "\n" else ids
-        if self.spaced and word:
-            body = word[1:] if word[0] in " \n" else word
-            if body == "" or body[0].isspace() or body[-1].isspace():
-                return None
-        return self._pack(self.tok.encode(word, add_special_tokens=False).ids)
-
-    def of_words(self, words: Sequence[str]) -> list[bytes | None]:
-        """The ids of each word, from the cache where it has them."""
-        found = list(map(self.young.get, words))
-        for i, x in enumerate(found):
+    def _odd(self, piece: str) -> bytes | None:
+        """The ids of a word with an odd character, or None where only the whole text tells."""
+        if self.spaced and any(c.isspace() for c in piece.removeprefix(" ")):
+            return None
+        return self._pack(self.tok.encode(piece, add_special_tokens=False).ids)
+
+    def of_pieces(self, pieces: Sequence[str], odd: np.ndarray) -> list[bytes | None]:
+        """The ids of each piece, from the cache where it has them. Odd ones are words for the whole encoder, others go to the merges as they are."""
+        young, old, tokenize, code, space = self.young, self.old, self.model.tokenize, self.code, self.space
+        found = list(map(young.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[i]
+            x = old.get(piece)
             if x is None:
-                word = words[i]
-                x = self.old.get(word)
-                if x is None:
-                    x = self._new(word)
+                if odd[i]:
+                    x = self._odd(piece)
                     if x is None:
                         continue
-                found[i] = x
-                if len(word) < 64:
-                    self.young[word] = x
-        if len(self.young) > CACHE_WORDS // 2:
-            self.young, self.old = {}, self.young
+                elif piece.isalpha() and piece.isascii():
+                    x = array(code, [t.id for t in tokenize(piece)]).tobytes()
+                elif self.dropped and not piece.strip(" \t\n\x0b\x0c\r"):
+                    x = b""
+                else:
+                    shown = space + piece[1:] if piece[1:].isalpha() and piece.isascii() and piece[0] == " " else piece.encode().decode("latin-1").translate(self.table)
+                    x = array(code, [t.id for t in tokenize(shown)]).tobytes()
+            found[i] = x
+            if len(piece) < 64:
+                young[piece] = x
+        if len(young) > self.most // 2:
+            self.young, self.old = {}, young
         return found
 
+    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, where pieces begin, where odd words hold an odd character) of concatenated texts; no piece spans texts."""
+        n = len(data)
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)
+        second = data[lead + 1]
+        latin = lead[(second != 0x97) & (second != 0xB7)]
+        kind[latin] = kind[latin + 1] = LETTER
+        fresh = np.zeros(n + 1, bool)
+        fresh[at] = True
+        white = kind == WHITE
+        begins = np.empty(n, bool)
+        begins[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= fresh[:n]
+        odd = np.flatnonzero((kind == OTHER) | (data == 0x27))
+        if self.special:
+            joined = data.tobytes()
+            hits = [m.start() for t in self.special for m in re.finditer(re.escape(t), joined)]
+            odd = np.concatenate([odd, np.array(hits, np.int64)])
+        shown = data
+        if self.dropped:
+            begins |= kind == DIGIT
+            shown = _LOWER[data]
+            shown[latin + 1] = _LOW_SECOND[data[latin + 1]]
+        if len(odd):
+            # a word with an odd character is one piece
+            starts = begins & ~white
+            starts[1:] &= white[:-1] | fresh[1:n]
+            word = np.cumsum(starts) - 1
+            strange = np.zeros(int(word[-1]) + 2, bool)
+            strange[word[odd]] = True
+            inside = strange[word] & ~white
+            begins &= ~inside | starts
+            if self.dropped:
+                shown[inside] = data[inside]
+        if self.spaced:
+            # the last of a run of white space is apart if a word follows, and a space goes with that word
+            ends = white.copy()
+            ends[:-1] &= ~white[1:]
+            ends &= ~fresh[1:]
+            begins |= ends
+            joins = np.flatnonzero(ends & (data == 0x20)) + 1
+            begins[joins] = False
+        return shown, np.flatnonzero(begins), odd
+
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
@@ -136,25 +174,36 @@ class WordEncoder:
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        cut = (data == 0x20) | (data == 0x0A)
-        cut[at[:-1][at[:-1] < len(data)]] = True
-        begins = np.append(np.flatnonzero(cut), len(data))
+        if not len(data):
+            return np.empty(0, self.kind), np.zeros(n + 1, np.int64)
+        shown, begins, strange = self._pieces(data, at)
+        strange = np.searchsorted(begins, strange, side="right") - 1
+        begins = np.append(begins, len(data))
         ends = np.searchsorted(begins, at)
-        words = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data))
-        coded = words.dictionary_encode()
+        pieces = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(shown))
+        coded = pieces.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False))
-        odd = np.fromiter((x is None for x in ids), bool, len(ids))
-        width = self.kind.itemsize
-        sizes = np.fromiter((len(x) // width if x else 0 for x in ids), np.int64, len(ids))
-        pool = np.frombuffer(b"".join(x or b"" for x in ids), self.kind)
+        del pieces, shown, begins  # as large as the texts
+        is_odd = np.zeros(len(coded.dictionary), bool)
+        is_odd[which[strange]] = True
+        ids = self.of_pieces(coded.dictionary.to_pylist(), is_odd)
+        odd = [i for i, x in enumerate(ids) if x is None]
+        for i in odd:
+            ids[i] = b""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        pool = np.frombuffer(b"".join(ids), self.kind)
         starts = np.cumsum(sizes) - sizes
         counts = sizes[which]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        out = pool[np.repeat(starts[which] - upto[:-1], counts) + np.arange(upto[-1])]
-        bounds = upto[ends]
-        if odd.any():
-            bad = np.unique(np.searchsorted(ends, np.flatnonzero(odd[which]), side="right") - 1)
+        index = np.int32 if upto[-1] < 1 << 30 else np.int64
+        place = np.repeat((starts[which] - upto[:-1]).astype(index), counts)
+        place += np.arange(upto[-1], dtype=index)
+        out, bounds = pool[place], upto[ends]
+        del place
+        if odd:
+            lost = np.zeros(len(ids), bool)
+            lost[odd] = True
+            bad = np.unique(np.searchsorted(ends, np.flatnonzero(lost[which]), side="right") - 1)
             parts = [out[bounds[i] : bounds[i + 1]] for i in range(n)]
             for i in bad:
                 parts[i] = self.whole(texts[int(i)].as_py())
@@ -162,21 +211,19 @@ class WordEncoder:
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return out, bounds
 
-    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def slices(self, texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, bounds) for runs of rows: row i of a run has ids[bounds[i]:bounds[i+1]].
 
-        Nulls count as empty. A run holds about SLICE_BYTES of text, and one text at least.
+        Nulls count as empty. A run holds about `size` bytes of text, SLICE_BYTES if it isn't given, and one text at least.
         """
-        texts = texts.cast(pa.large_string())
-        texts = pc.fill_null(texts, "") if texts.null_count else texts
-        if len(texts) == 0:
-            return
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        size = size or SLICE_BYTES
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
-            part = texts.slice(at, to - at)
+            to = max(at + 1, int(np.searchsorted(sizes, done + size, side="right")))
+            part = texts.slice(at, to - at).cast(pa.large_string())
+            part = pc.fill_null(part, "") if part.null_count else part
             if self.spaced or self.dropped:
                 ids, bounds = self._slice(part)
             else:

@@ -29,7 +29,7 @@ def crc(ids):
 
 
 def test_encoder_is_exact():
-    texts = ["", "  ", "a  b", " a", "a ", "\n x", "a\n\nb", "it's I'LL", "x<|endoftext|>y", "naïve Straße ªb", "日本語 text", "12,345.6", "\t", "½ ²³", "word.\nWord", "'s 't", "A" * 300, "x" * 70 + "!!"]
+    texts = ["", "  ", "a  b", " a", "a ", "\n x", "a\n\nb", "it's I'LL", "x<|endoftext|>y", "naïve Straße ªb", "日本語 text", "12,345.6", "\t", "½ ²³", " \n x  ", "a\u00a0b c", "\u00a0", "a \u2028 b", "don't 'tis o'clock '' it's", "_a_ __ a_b1c22", "x\x1cy \x85 z", "É É e\u0301 ÀÉ×÷ß ÿ", "<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>\n", "İstanbul ΣΑΣ ǅ", "a\r\n\r\nb", "...--- 1a2 3.4", "word.\nWord", "'s 't", "A" * 300, "x" * 70 + "!!"]
     for path in (BYTES, WORDS):
         e, t = encoder(path), Tokenizer.from_file(path)
         import pyarrow as pa
@@ -40,6 +40,21 @@ def test_encoder_is_exact():
                 assert ids[bounds[i] : bounds[i + 1]].tolist() == want
 
 
+def test_encoder_is_exact_on_random_texts():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    bits = list("aBzÀé×÷ñ09'._-<|> \n\t\r\x0b\x1f") + ["  ", "'s", "ll", "\u00a0", "日", "e\u0301", "<|endoftext|>", "İ", "½", " the", "Wörter", "12"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    for path in (BYTES, WORDS):
+        e, t = encoder(path), Tokenizer.from_file(path)
+        for at, ids, bounds in e.slices(pa.array(texts)):
+            for i in range(len(bounds) - 1):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(texts[at + i], add_special_tokens=False).ids, repr(texts[at + i])
+
+
 def test_packing(docs, rows):
     out = [r.asDict() for r in pack_documents(docs, BYTES).collect()]
     by_doc, by_seq = defaultdict(list), defaultdict(list)
