@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import WordEncoder, encoder
+from tessera.llm.common import frugal
+from tessera.llm.tokens import SLICE_BYTES, WordEncoder, encoder
 
 #: Scrubbing edits: what matches is replaced; mail addresses, then runs of six digits or more. The
 #: first member is a string that any match holds, or empty.
@@ -129,14 +131,20 @@ class CountTree:
 
 
 def planned(text: str, edits: Sequence[tuple[str, str, str]] = EDITS) -> list[tuple[int, int, str]]:
-    """The edits of a text from its end to its start, none touching another."""
-    found: list[tuple[int, int, str]] = []
+    """The edits of a text from its end to its start, none touching another; where matches overlap the earlier pattern's counts."""
+    taken: list[tuple[int, int, str]] = []
     for need, pattern, new in edits:
         if need in text:
-            for m in re.finditer(pattern, text):
-                if not any(a < m.end() and m.start() < b for a, b, _ in found):
-                    found.append((m.start(), m.end(), new))
-    return sorted(found, reverse=True)
+            found = [(m.start(), m.end(), new) for m in re.finditer(pattern, text) if m.end() > m.start()]
+            k, free = 0, []
+            for edit in found:
+                # both lists are in order and without overlaps in themselves
+                while k < len(taken) and taken[k][1] <= edit[0]:
+                    k += 1
+                if k == len(taken) or taken[k][0] >= edit[1]:
+                    free.append(edit)
+            taken = sorted(taken + free)
+    return taken[::-1]
 
 
 SCHEMA = "doc_id long, n_tokens long, n_edits long, edited_tokens long, edited_chars long, reencoded_chars long"
@@ -146,9 +154,13 @@ def _count(path: str, edits: Sequence[tuple[str, str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            keys = batch.column(0)
-            for at in range(0, len(keys), 1000):
-                texts = [t or "" for t in batch.column(1).slice(at, 1000).to_pylist()]
+            keys, column = batch.column(0), batch.column(1).cast(pa.large_string())
+            upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(keys):
+                # texts of some SLICE_BYTES, one at least
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+                texts = [t or "" for t in column.slice(at, to - at).to_pylist()]
                 leaves = [leaves_of(t) for t in texts]
                 flat = pa.array([x for group in leaves for x in group], pa.large_string())
                 counts = np.concatenate([np.diff(bounds) for _, _, bounds in enc.slices(flat)])
@@ -162,9 +174,10 @@ def _count(path: str, edits: Sequence[tuple[str, str, str]]):
                     rows.append((before, len(todo), tree.total, int(tree.nodes[1, 1]), tree.reencoded))
                 columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 1000), *columns], names=names)
+                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), *columns], names=names)
+                at = to
 
-    return run
+    return frugal(run)
 
 
 def edited_counts(
@@ -174,7 +187,8 @@ def edited_counts(
 
     Counts each whole text once, by leaves of a CountTree, then applies the edits (by default, scrubbing of
     mail addresses and long numbers) to the tree. edited_tokens is what encoding the edited text anew
-    would count; reencoded_chars tells how little of it was. No shuffle; a task holds 1000 texts at a time.
+    would count; reencoded_chars tells how little of it was. No shuffle; a task holds some SLICE_BYTES of text at a time, and
+    one text at least. A text without clean places, as one without spaces, is a single leaf.
 
     A null or empty text has no tokens and no edits. Null ids and repeated rows are kept. An empty table
     gives no rows. Other columns are not read.

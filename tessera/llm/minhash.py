@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BLOCK, Forest, cross_blocks, dealt, index_pairs, only, runs
-from tessera.llm.common import connected_components, written
+from tessera.llm.common import connected_components, frugal, written
 from tessera.llm.shingles import mix, sets_of, signatures
 
 BANDS, ROWS = 32, 5
@@ -67,7 +67,7 @@ def _sign(size: int, seed: int):
                     names=["doc_id", "n_shingles", "digest", "sig", "keys"],
                 )
 
-    return run
+    return frugal(run)
 
 
 def _outlast(least: list[int], sig: np.ndarray, i: np.ndarray, j: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
@@ -176,7 +176,7 @@ def _sets(size: int):
                     [batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"]
                 )
 
-    return run
+    return frugal(run)
 
 
 def _links(percent: int):
@@ -210,7 +210,7 @@ def _links(percent: int):
                     found.append((np.full(len(j), a + i), a + j))
             yield _edges(part, found)
 
-    return run
+    return frugal(run)
 
 
 def minhash_components(
