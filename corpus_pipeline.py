@@ -1,6 +1,10 @@
 """A corpus pipeline: toxicity, exact dedup, MinHash near-dedup, mixing to target weights, packing.
 
 Each stage works on all rows the one before kept, written as Parquet and read again.
+
+In every stage: a row goes or stays by its own text, whatever its id, so repeated ids and null ids are no special case; of rows that tie,
+repeated rows included, the first by place in the files stays. Null texts count as empty; empty texts are equal to one another (one stays) and
+near nothing. An empty table gives an empty one. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_table_path
+from tessera.llm.common import new_table_path, small_batches
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import minhash_components
 from tessera.llm.mixing import mix_sources
@@ -20,12 +24,13 @@ ROW = "__row"
 #: Bits of a key for a row's place in its file, above which is the file's number.
 ROW_BITS = 40
 #: Ids that a broadcast holds at most; beyond it the planner joins by shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def _table(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
     path = new_table_path(spark, name)
-    rows.write.parquet(path)
+    with small_batches(spark):
+        rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -96,7 +101,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix's documents in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), small=True)
 
 
 STAGES = [
