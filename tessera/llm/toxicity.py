@@ -8,22 +8,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import frugal, release, written
 from tessera.llm.shingles import mix, text_slices
 
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STRIDE = 48, 32
+#: Words of a window, and words from one window's start to the next: what is half a window long is whole in some window.
+WINDOW, STRIDE = 48, 24
 HIDDEN, WIDTH = 16, 16
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
 #: Embedding rows that fewer training texts hold stay zero, so that no text is learned by its rare words.
 LEAST_TEXTS = 3
-#: Labelled rows that training takes at most, of each label, and the words of those that train weights.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 1500, 2500, 512
-#: Gradient steps, whatever the number of rows, and texts of a step.
-STEPS, BATCH, RATE = 400, 64, 0.01
+#: Labelled rows that training takes at most, of each label, and characters of them in all; whole texts, by hash of id.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 64 << 20
+#: Gradient steps, whatever the number of rows, texts of a step at most, and windows from which it takes no further text.
+STEPS, BATCH, BATCH_WINDOWS, RATE = 400, 64, 512, 0.01
+#: Windows that run through the network at a time.
+CHUNK = 1024
 #: Bytes of text whose words are coded at a time: by a task, and in training, which has the driver's memory.
 SLICE_BYTES, TRAIN_BYTES = 2 << 20, 1 << 20
 THRESHOLD = 0.7
@@ -204,7 +207,7 @@ def new_params(seed: int = 5) -> Params:
         p["w" + d], p["u" + d] = n(WIDTH, 3 * HIDDEN, scale=0.3), n(HIDDEN, 3 * HIDDEN, scale=0.2)
         p["b" + d] = np.zeros(3 * HIDDEN, np.float32)
     p |= {"att": n(2 * HIDDEN, scale=0.2), "out": n(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
-    return p | {"shift": np.zeros(1, np.float32), "scale": np.ones(1, np.float32)}
+    return p | {"shift": np.zeros(1, np.float32)}
 
 
 def _layout(c: Coded, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,16 +217,16 @@ def _layout(c: Coded, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     return idx, mask
 
 
-def window_logits(p: Params, c: Coded, x: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 2048) -> np.ndarray:
+def window_logits(p: Params, c: Coded, x: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     out = [np.empty(0, np.float32)]
-    for a in range(0, len(start), chunk):
-        idx, mask = _layout(c, start[a : a + chunk], length[a : a + chunk])
+    for a in range(0, len(start), CHUNK):
+        idx, mask = _layout(c, start[a : a + CHUNK], length[a : a + CHUNK])
         out.append(forward(p, x, idx, mask)[0])
     return np.concatenate(out)
 
 
 def text_logits(p: Params, c: Coded) -> np.ndarray:
-    """The largest logit of a text's windows; the bias alone for a text without words."""
+    """The largest logit of a text's windows; -20, which scores near 0, for a text without words."""
     out = np.full(len(c.bounds) - 1, -np.inf, np.float32)
     text, start, length = windows(c.bounds)
     if len(text):
@@ -281,20 +284,20 @@ def label_weights(coded: list[Coded], toxic: np.ndarray, clip: float = 4.0) -> t
     return out[0], out[1]
 
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS) -> Params:
+def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS, start_at_labels: bool = True) -> Params:
     """Weights from labelled texts, where a text is as toxic as its worst window.
 
-    One coordinate of the words' embeddings and one of the n-grams' start at their label weights. Each step
-    scores a batch's windows, then follows the gradient at each text's highest window. Texts over
-    TRAIN_WORDS words only help to set the threshold: the score is THRESHOLD half way between the two labels'
-    logits, at the cut with the fewest errors.
+    One coordinate of the words' embeddings and one of the n-grams' start at their label weights (unless start_at_labels
+    is false). Each step scores all windows of a batch of whole texts, then follows the gradient at each text's
+    highest window. The score is THRESHOLD half way between the two labels' logits, at the cut with the fewest errors.
     """
     p, adam, r = new_params(seed), Adam(), np.random.default_rng(seed)
     coded = [c for _, c in coded_texts(pa.array(texts, pa.large_string()), TRAIN_BYTES)]
     live: dict[str, np.ndarray] = {}
     for name, at, weights in zip(("words", "grams"), (0, 1), label_weights(coded, toxic), strict=True):
         live[name] = ~np.isnan(weights)
-        p[name][:, at] = np.nan_to_num(weights)
+        if start_at_labels:
+            p[name][:, at] = np.nan_to_num(weights)
         p[name][~live[name]] = 0
     groups: list[tuple[Coded, np.ndarray, int]] = []
     done = 0
@@ -302,16 +305,14 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS
         groups.append((c, toxic[done : done + len(c.bounds) - 1].astype(np.float32), done))
         done += len(c.bounds) - 1
     weight = len(toxic) / max(1, 2 * toxic.sum()), len(toxic) / max(1, 2 * (len(toxic) - toxic.sum()))
-    size, usable = BATCH, any(((n := np.diff(c.bounds)) > 0).any() and (n[n > 0] <= TRAIN_WORDS).any() for c in coded)
+    usable = any((np.diff(c.bounds) > 0).any() for c in coded)
     while usable and adam.t < steps:
         for g in r.permutation(len(groups)):
             c, y, _ = groups[g]
-            words = np.diff(c.bounds)
-            use = np.flatnonzero((words > 0) & (words <= TRAIN_WORDS))
+            use = np.flatnonzero(np.diff(c.bounds) > 0)
             text, start, length = windows(c.bounds)
             r.shuffle(use)
-            for a in range(0, len(use), size):
-                batch = use[a : a + size]
+            for batch in _batches(use, np.bincount(text, minlength=len(c.bounds) - 1)):
                 mine = np.flatnonzero(np.isin(text, batch))
                 # only the batch's distinct words are embedded and updated
                 idx, mask = _layout(c, start[mine], length[mine])
@@ -319,7 +320,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS
                 idx = local.reshape(idx.shape)
                 part = _subset(c, rows)
                 x = word_inputs(p, part)
-                logits = forward(p, x, idx, mask)[0]
+                logits = np.concatenate([forward(p, x, idx[:, k : k + CHUNK], mask[:, k : k + CHUNK])[0] for k in range(0, idx.shape[1], CHUNK)])
                 order = np.lexsort((-logits, text[mine]))
                 top = order[np.unique(text[mine][order], return_index=True)[1]]
                 idx, mask, label = idx[:, top], mask[:, top], y[text[mine][top]]
@@ -336,10 +337,20 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = STEPS
                     grads[name][~rows] = 0
                 adam.step(p, grads, RATE * (0.5 if adam.t >= steps // 2 else 1))
     logits = np.concatenate([text_logits(p, c) for c in coded]) if coded else np.empty(0)
-    p["shift"], p["scale"] = _threshold(logits, toxic)
+    p["shift"] = _threshold(logits, toxic)
     return p
 
 
+def _batches(texts: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts in order, BATCH at a time, or fewer with BATCH_WINDOWS windows; one at least."""
+    at = 0
+    while at < len(texts):
+        upto = np.cumsum(counts[texts[at : at + BATCH]])
+        to = at + max(1, int(np.searchsorted(upto, BATCH_WINDOWS, side="right")))
+        yield texts[at:to]
+        at = to
+
+
 def _subset(c: Coded, rows: np.ndarray) -> Coded:
     counts = c.gram_starts[rows + 1] - c.gram_starts[rows]
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -347,17 +358,17 @@ def _subset(c: Coded, rows: np.ndarray) -> Coded:
     return Coded(c.which, c.bounds, c.word_rows[rows], c.gram_rows[at], ends)
 
 
-def _threshold(logits: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logit at which the score shall be THRESHOLD, and a scale that keeps scores apart."""
+def _threshold(logits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The logit at which the score shall be THRESHOLD."""
     if not toxic.any() or toxic.all():
-        return np.zeros(1, np.float32), np.ones(1, np.float32)
+        return np.zeros(1, np.float32)
     order = np.argsort(logits, kind="stable")
     s, y = logits[order], toxic[order].astype(bool)
     wrong = np.concatenate([[0], np.cumsum(y)]) / y.sum() + (np.sum(~y) - np.concatenate([[0], np.cumsum(~y)])) / np.sum(~y)
     best = np.flatnonzero(wrong == wrong.min())
     k = best[len(best) // 2]
     low, high = s[max(k - 1, 0)], s[min(k, len(s) - 1)]
-    return np.array([(low + high) / 2], np.float32), np.ones(1, np.float32)
+    return np.array([(low + high) / 2], np.float32)
 
 
 def _score(p: Params):
@@ -367,18 +378,18 @@ def _score(p: Params):
         for batch in batches:
             for row, c in coded_texts(batch.column(1)):
                 logits = text_logits(p, c).astype(np.float64)
-                score = 1 / (1 + np.exp(-np.clip((logits - p["shift"][0]) * p["scale"][0] + bias, -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(logits - p["shift"][0] + bias, -30, 30)))
                 keys = [c.slice(row, len(score)) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(score)), pa.array(score), pa.array(logits >= p["shift"][0]), *keys],
                     names=["doc_id", "score", "toxic", *batch.schema.names[2:]],
                 )
 
-    return run
+    return frugal(run)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded sample of labelled rows that aren't held out, by hash of the id."""
+    """Texts and labels of a bounded sample of labelled rows that aren't held out, in order of a hash of the id."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic is not null")
@@ -391,8 +402,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = some[0].unionByName(some[1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the sample holds TRAIN_TOXIC + TRAIN_CLEAN ids at most
-    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in found.collect())
+    found = written(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "training")
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id"))
+    within = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= TRAIN_CHARS).select("doc_id")
+    got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in found.join(F.broadcast(within), "doc_id").collect())
     return [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
 
 
@@ -409,7 +422,8 @@ def score_toxicity(
     The network reads windows of WINDOW words, STRIDE apart, over the whole text; a word enters with its own
     embedding and those of its character n-grams; a gated recurrent layer runs in each direction, attention pools the states, and
     the highest window's logit is the text's. It is trained on the driver from TRAIN_TOXIC and TRAIN_CLEAN
-    labelled rows at most that aren't held out (a documented bound; scoring covers every row). Only the text
+    labelled rows and TRAIN_CHARS characters of them at most that aren't held out (a documented bound; scoring covers
+    every row and whole texts). Only the text
     enters a score. predicted is 1 if score >= THRESHOLD.
 
     Nulls: a null or empty text scores near 0. Null ids are kept, not held out. Labels with nulls are not used; of
@@ -419,6 +433,8 @@ def score_toxicity(
     texts, toxic = training_rows(docs, labels, id_col, text_col, seed)
     both = len(set(toxic.tolist())) == 2
     p = train(texts, toxic, seed) if both else new_params(seed) | {"shift": np.array([25.0], np.float32)}
+    del texts
+    release()  # the driver's process outlives the training
     also = [] if row_col is None else [row_col]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
     scored = rows.mapInArrow(_score(p), ", ".join(["doc_id long", "score double", "toxic boolean", *(f"{c} long" for c in also)]))

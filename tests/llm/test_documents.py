@@ -214,6 +214,7 @@ def test_line_templates_by_shuffle(spark, monkeypatch):
 def test_edited_counts(docs, rows):
     extra = [(500, "mail me at a.b@c.example.org now, call 0123456789  or  98765432\nsee x@y.zz."), (501, "no edits")]
     both = docs.sparkSession.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    both = both.withColumns({c: F.lit("clash") for c in ("n_tokens", "n_edits", "edited_tokens", "input")})
     tok = Tokenizer.from_file(BYTES)
     want = Counter()
     for i, t in [(i, t) for i, t, _ in rows] + extra:

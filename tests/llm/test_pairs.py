@@ -1,8 +1,11 @@
 import functools
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +93,15 @@ def test_cover_tree_matches_brute_force(monkeypatch, spark, block):
     assert cover_tree.cosine_components(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_share_links(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (8, [0.0, 0.0, 1.0]), (8, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("node", "copies", "first", "more", "leaf", "block", "unit")})
+    got = Counter(tuple(r) for r in cover_tree.cosine_components(df).collect())
+    assert got == Counter([(5, 2, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 1, 8, True), (8, 1, 8, True)])
+
+
 def clustered(r, clusters, each, width, spread):
     x = np.repeat(r.normal(size=(clusters, width)), each, axis=0) + r.normal(size=(clusters * each, width)) * spread
     return x / np.linalg.norm(x, axis=1)[:, None]
@@ -167,6 +179,58 @@ def test_url_filter(spark):
     assert judge_urls(df, rule_table(spark, [])).where("verdict <> 'allow'").count() == 0
 
 
+def plain_logit(p, words):
+    """The definition, by loops: rows of each word, both directions, attention, the highest window."""
+    sig = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+    H = toxicity.HIDDEN
+
+    def word_input(w):
+        c = toxicity.code(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+        return p["words"][c.word_rows[0]] + sum(p["grams"][g] for g in c.gram_rows) / len(c.gram_rows)
+
+    def states(xs, name):
+        h, out = [0.0] * H, []
+        for x in xs:
+            g, a = x @ p["w" + name] + p["b" + name], np.array(h) @ p["u" + name]
+            z, q = [sig(g[k] + a[k]) for k in range(H)], [sig(g[H + k] + a[H + k]) for k in range(H)]
+            cand = [math.tanh(g[2 * H + k] + q[k] * a[2 * H + k]) for k in range(H)]
+            h = [cand[k] + z[k] * (h[k] - cand[k]) for k in range(H)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    at = 0
+    while True:
+        xs = [word_input(w) for w in words[at : at + toxicity.WINDOW]]
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = [math.exp(float(np.dot(h, p["att"]))) for h in both]
+        pooled = sum(np.array(h) * w for h, w in zip(both, e, strict=True)) / sum(e)
+        best = max(best, float(pooled @ p["out"] + p["bias"][0]))
+        if at + toxicity.WINDOW >= len(words):
+            return best
+        at += toxicity.STRIDE
+
+
+def test_toxicity_matches_plain_loops(docs, rows):
+    p = toxicity.new_params(3)
+    texts = ["Some words, SOME repeated; naïve 12x a", "one", " ".join(f"w{i % 37}x{i % 5}" for i in range(131)), "", "?!", rows[2][1]]
+    got = np.concatenate([toxicity.text_logits(p, c) for _, c in toxicity.coded_texts(pa.array(texts, pa.large_string()))])
+    for text, logit in zip(texts, got.tolist(), strict=True):
+        words = re.findall(r"[0-9a-z\u0080-\uffff]+", text.lower())
+        assert logit == pytest.approx(plain_logit(p, words) if words else -20, abs=1e-4)
+
+
+def test_long_texts_train(monkeypatch):
+    """A text longer than a batch's windows gets gradients: its toxic word is at the far end."""
+    r = np.random.default_rng(0)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words, 900)) + (" vile nasty brute" if i % 2 else " calm sunny field") for i in range(40)]
+    monkeypatch.setattr(toxicity, "BATCH_WINDOWS", 30)
+    p = toxicity.train(texts, np.arange(40) % 2, steps=60, start_at_labels=False)
+    logits = np.concatenate([toxicity.text_logits(p, c) for _, c in toxicity.coded_texts(pa.array(texts, pa.large_string()))])
+    assert logits[1::2].min() > logits[::2].max()
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
@@ -184,6 +248,19 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Very long texts, ties, repeated rows, labels with nulls and with other columns."""
+    clean, vile = "the calm sunny field lies open " * 4, "you vile nasty brute go away " * 4
+    rows = [(i, vile if i % 2 else clean) for i in range(60)] + [(100, clean * 4000), (101, clean * 2000 + vile + clean * 2000), (102, None), (103, ""), (None, vile), (7, vile), (104, "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("toxic", "score", "held_out", "predicted", "upto")})
+    labels = spark.createDataFrame([(i, i % 2, "e") for i in range(60)] + [(3, 0, "e"), (None, 1, "e"), (5, None, "e"), (999, 1, "e")], "doc_id long, toxic int, text string")
+    out = toxicity.score_toxicity(docs, labels).collect()
+    assert len(out) == len(rows)
+    by = {r["doc_id"]: r["predicted"] for r in out}
+    assert by[100] == 0 and by[101] == 1 and by[102] == by[103] == 0 and by[None] == 1
+    assert len({r["score"] for r in out if r["doc_id"] is not None and r["doc_id"] < 60 and r["doc_id"] % 2}) == 1
+
+
 def test_gradients():
     """Analytic gradients agree with differences."""
     p = {k: v.astype(np.float64) for k, v in toxicity.new_params(1).items()}
@@ -205,6 +282,14 @@ def test_gradients():
         assert grads[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-3)
 
 
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline
 
