@@ -43,7 +43,7 @@ def test_shards_follow_content():
     topic = np.repeat(np.arange(8), 100)
     docs = [(r.choice(50, 60) + 50 * t).astype(np.uint16) for t in topic] + [np.full(30, 7, np.uint16)] * 400
     idf = np.ones(400)
-    x = packing.content_vectors(pa.array([d.tobytes() for d in docs]), "<u2", packing.directions_of(idf))
+    x = packing.content_vectors(pa.array([d.tobytes() for d in docs]), "<u2", packing.sketch_of(idf))
     tree = packing.ContentTree(x, 12)
     got = tree.shards(x, r.integers(-(2**62), 2**62, len(docs)))
     own = [np.bincount(got[:800][topic == t]).max() for t in range(8)]
