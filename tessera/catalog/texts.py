@@ -227,8 +227,13 @@ def oversize_split(spark, sf_dir):
     return docs.mapInPandas(run, "document_id long, position int, piece string").select("document_id", "position", F.sha2("piece", 256).alias("text_hash"))
 
 
-@query(None)
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '^\s+', ''), '\s+$', '') AS body FROM documents),
+  t AS (SELECT doc_id, 0 AS n, body AS rest, CAST(NULL AS VARCHAR) AS piece FROM b UNION ALL
+  SELECT doc_id, n + 1, CASE WHEN cut > 0 THEN ltrim(rest[cut + 1:], ' ' || chr(10)) ELSE '' END, CASE WHEN cut > 0 THEN rtrim(rest[1:cut], ' ' || chr(10)) ELSE rest END
+  FROM (SELECT doc_id, n, rest, CASE WHEN length(rest) <= 2000 THEN 0 ELSE 2002 - strpos(reverse(rest[1:2002]), chr(10) || chr(10)) - 1 END
+          * CASE WHEN length(rest) > 2000 AND NOT contains(rest[1:2002], chr(10) || chr(10)) THEN 0 ELSE 1 END AS cut FROM t WHERE rest <> ''))
+  SELECT doc_id AS document_id, n - 1 AS position, 'Doc ' || doc_id AS heading, 'Doc ' || doc_id AS section_name, sha256(piece) AS text_hash, length(piece) AS char_count
+  FROM t WHERE piece IS NOT NULL""")
 def chunk_documents(spark, sf_dir):
-    return chunking.chunk_documents(vault(spark, sf_dir).withColumn("body", body())).drop("text")
-
-
+    chunks = chunking.chunk_documents(vault(spark, sf_dir).withColumn("body", body()))
+    return chunks.select("document_id", "position", F.array_join("heading_path", "|").alias("heading"), "section_name", "text_hash", F.col("char_count").cast("long").alias("char_count"))
