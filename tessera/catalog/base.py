@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from tessera.functions import intent as rules
 from tessera.functions import text
 from tessera.operators import graph, lexical
 from tessera.plans.views import ASKED, QUERY_STEP, SEARCHES, links, literal, table, vault
-from tessera.sources.working import materialised, once, working_path
+from tessera.sources.working import materialised, once, plain_unions, working_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +23,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its name, with DuckDB SQL for its result where there is any."""
 
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            plain_unions(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.working import shared_folder
+from tessera.sources.working import plain_unions, shared_folder
 
 
 def connected_parts(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def connected_parts(edges: DataFrame) -> DataFrame:
     is left; there is no limit to count.
     """
     shared_folder(edges.sparkSession)
+    plain_unions(edges.sparkSession)
     live = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     ends = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     home = ends.select("node", F.col("node").alias("root")).checkpoint()

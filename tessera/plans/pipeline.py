@@ -16,7 +16,7 @@ from tessera.operators.lexical import WEIGHTS, LexicalIndex, bm25, build_index,
 from tessera.operators.policy import authority_policy, conflict_labels, recency
 from tessera.operators.rerank import Reranker, rerank
 from tessera.settings import Settings
-from tessera.sources.working import materialised
+from tessera.sources.working import materialised, plain_unions
 
 META = ("document_id", "path", "source_kind", "page_role", "project_id", "is_route_map", "updated_at_ns")
 
@@ -86,6 +86,7 @@ def search(
     s = settings
     if mode not in ("dense", "lexical", "hybrid"):
         raise ValueError("mode is dense, lexical or hybrid")
+    plain_unions(rows.sparkSession)
     asked = queries.where("trim(query) <> ''")
     index = index or build_index(rows, "id", WEIGHTS)
     allowed = scope.allowed(rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import META, classify, skipped
 from tessera.functions.text import body_tags, document_title, frontmatter_tags, heading_outline, wikilinks
 from tessera.settings import SCHEMA_VERSION, Settings
+from tessera.sources.working import plain_unions
 
 _BLOCK = re.compile(r"\A---[ \t]*\n(.*?)^---[ \t]*$\n?", re.DOTALL | re.MULTILINE)
 PARSED = "path string, content_hash string, mtime_ns long, size_bytes long, title string, frontmatter string, tags array<string>, aliases array<string>, body string"
@@ -146,6 +147,7 @@ class Projection:
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        plain_unions(spark)
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path

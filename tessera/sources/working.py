@@ -9,6 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """From now on unions concatenate their sides' partitions. Spark 4.1 else zips sides of one partitioning, which fails where adaptive
+    planning has changed the number of one side's partitions ("Can't zip RDDs")."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

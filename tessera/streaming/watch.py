@@ -83,7 +83,7 @@ class Watcher:
         """What the stream says, if it has ended by itself."""
         if self._state == "running" and self._query is not None and not self._query.isActive:
             error = self._query.exception()
-            self._state, self.reason = ("failed", str(error)[:500]) if error else ("stopped", "")
+            self._state, self.reason = ("failed", str(error)[:4000]) if error else ("stopped", "")
         return self._state
 
     def start(self, once: bool = False) -> str:

@@ -139,7 +139,8 @@ def test_inject(engine):
     assert make(certified, **on).inject("thanks!")["reason"] == "route:greeting-or-ack"
     e = make(certified, **on)
     done = e.inject("where do ships pay harbour dues?")
-    assert done["inject"] and "harbour" in done["context"] and "context" not in e.decisions[-1]
+    assert done["inject"], done
+    assert "harbour" in done["context"] and "context" not in e.decisions[-1]
     low = make(Gate({}, -9.0, 0.5, {"safety_passed": True}), **on).inject("where do ships pay harbour dues?")
     assert low["reason"] == "below-threshold", low
     assert make(certified, inject=True, inject_deadline_ms=1).inject("where do ships pay harbour dues?")["reason"] == "timeout"
