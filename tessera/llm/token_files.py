@@ -15,7 +15,9 @@ from tessera.llm.common import frugal, new_table_path, small_batches, written
 from tessera.llm.tokens import encoder
 
 #: Bytes of text that one file takes in at most, by the mean; sets the number of files.
-FILE_TEXT_BYTES = 48 << 20
+FILE_TEXT_BYTES = 24 << 20
+#: Bytes of text that are encoded at a time, and pieces cached: a task holds a row group and sorted rows beside them.
+SLICE_BYTES, CACHE_PIECES = 3 << 20, 250_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -30,9 +32,10 @@ def _lists(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> pa.ListArray:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, done = encoder(path), TaskContext.get().partitionId(), 0
+        enc.most = CACHE_PIECES
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, ids, bounds in enc.slices(texts):
+            for at, ids, bounds in enc.slices(texts, SLICE_BYTES):
                 n = len(bounds) - 1
                 sizes = np.diff(bounds) + 1
                 starts = done + np.cumsum(sizes) - sizes
