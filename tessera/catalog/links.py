@@ -72,7 +72,7 @@ def _mentions(spark, sf_dir):
     index = once(spark, sf_dir, "said", build)
     keys = graph.mention_keys(docs, graph.link_keys(docs))
     words = keys.select("document_id", text.tokens(F.col("phrase")).alias("t")).select("document_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("words"))
-    words = words.where("words > 0").distinct()
+    words = once(spark, sf_dir, "mention_words", lambda: materialised(words.where("words > 0").distinct(), "mention_words"))
     found = once(spark, sf_dir, "mentions", lambda: materialised(graph.mentions(lexical.occurrences(index, words), words, docs.select(F.col("document_id").alias("id"), F.col("document_id").alias("owner_id"))), "mentions"))
     return docs, found
 

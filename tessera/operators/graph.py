@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import in_profile, link_target
 from tessera.functions.text import informative_terms
 from tessera.operators.parts import connected_parts
+from tessera.sources.working import materialised
 
 # Names too general to be a mention.
 GENERIC_KEYS = (
@@ -148,12 +149,27 @@ def mention_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def mentions(found: DataFrame, keys: DataFrame, owner: DataFrame) -> DataFrame:
     """(chunk_id, document_id) from phrase occurrences (id, phrase), mention keys with normalised `phrase`, and owner
-    (id, owner_id) of chunks: other documents' chunks, the first MAX_MENTION_ROWS by id, unless over MAX_MENTION_DOCS documents."""
-    hits = found.select("id", "phrase").join(keys.select("document_id", "phrase"), "phrase").join(owner, "id").where("owner_id <> document_id")
+    (id, owner_id) of chunks: other documents' chunks, the first MAX_MENTION_ROWS by id, unless over MAX_MENTION_DOCS documents.
+
+    A phrase may be the key of a tenth of the documents and stand in all chunks, so these never meet: a phrase's first
+    MAX_MENTION_ROWS chunks are among those of each of its keys but for the key's own. With over MAX_MENTION_DOCS + 1 owners it is too
+    wide for every key. Else a key meets those chunks; one that owns some of them, where more follow, all chunks of its phrase: such keys are
+    MAX_MENTION_DOCS + 1 at most for a phrase.
+    """
+    keys = keys.select("document_id", "phrase").distinct()
+    said = materialised(found.select("id", "phrase").join(owner.select("id", "owner_id"), "id"), "said")
+    head = said.withColumn("turn", F.row_number().over(Window.partitionBy("phrase").orderBy("id"))).where(F.col("turn") <= MAX_MENTION_ROWS)
+    head = materialised(head.select("phrase", "id", "owner_id"), "said_first")
+    sizes = head.groupBy("phrase").agg(F.countDistinct("owner_id").alias("owners"), (F.count(F.lit(1)) == MAX_MENTION_ROWS).alias("full"))
+    near = head.join(sizes.where(F.col("owners") <= MAX_MENTION_DOCS + 1), "phrase").join(keys, "phrase")
+    near = materialised(near.select("document_id", "phrase", "id", "owner_id", "full"), "met")
+    owns = near.where("full and owner_id = document_id").select("document_id", "phrase").distinct()
+    further = said.join(owns, "phrase").select("document_id", "phrase", "id", "owner_id")
+    hits = near.join(owns, ["document_id", "phrase"], "left_anti").drop("full").unionByName(further).where("owner_id <> document_id")
     order = Window.partitionBy("document_id", "phrase").orderBy("id")
     first = hits.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= MAX_MENTION_ROWS)
-    wide = first.groupBy("document_id", "phrase").agg(F.countDistinct("owner_id").alias("docs")).where(F.col("docs") <= MAX_MENTION_DOCS)
-    return first.join(wide, ["document_id", "phrase"]).select(F.col("id").alias("chunk_id"), "document_id").distinct()
+    wide = first.groupBy("document_id", "phrase").agg(F.countDistinct("owner_id").alias("docs")).where(F.col("docs") > MAX_MENTION_DOCS)
+    return first.join(wide, ["document_id", "phrase"], "left_anti").select(F.col("id").alias("chunk_id"), "document_id").distinct()
 
 
 def community_edges(links: DataFrame, docs: DataFrame) -> DataFrame:

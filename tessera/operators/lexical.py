@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -63,30 +64,35 @@ def query_phrases(queries: DataFrame, analyse: Analyse = tokens) -> DataFrame:
     return words.select("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("words")).distinct()
 
 
-def _less(k: int) -> Callable[[Column], Column]:
-    return lambda x: x - k
-
-
 def occurrences(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     """(id, phrase, f): weighted occurrences of every phrase in every row that has it.
 
-    Postings of the phrases' tokens only are joined, the next token of a phrase where the ones before it
-    are adjacent. Which side is broadcast, if any, is the planner's choice by size.
+    Postings of the phrases' tokens only are read. Single words are what they hold. Longer phrases come from their tokens
+    put back in order of position, cell by cell: each run of adjacent ones, of the lengths that phrases have, is looked up once, so the
+    work is that of the postings however many phrases begin with one word. Which side is broadcast, if any, is the planner's choice by size.
     """
-    wanted = phrases.select("phrase", "words").distinct().withColumn("t", F.split("phrase", " "))
-    longest = wanted.agg(F.max("words")).first()[0] or 0
-    found = None
-    run = wanted.select("phrase", "words", "t", F.col("t")[0].alias("token")).join(index.postings, "token").drop("token").withColumnRenamed("at", "starts")
-    for n in range(1, longest + 1):
-        if n > 1:
-            more = index.postings.select("token", "id", "cell", "at")
-            run = run.where(F.col("words") >= n).withColumn("token", F.col("t")[n - 1]).join(more, ["token", "id", "cell"])
-            run = run.withColumn("starts", F.array_intersect("starts", F.transform("at", _less(n - 1)))).where(F.size("starts") > 0).drop("token", "at")
-        done = run.where(F.col("words") == n).select("id", "phrase", (F.col("weight") * F.size("starts")).alias("f"))
-        found = done if found is None else found.unionByName(done)
-    if found is None:
+    wanted = phrases.select("phrase", "words").distinct()
+    lengths = sorted(r["words"] for r in wanted.select("words").distinct().collect())
+    found = []
+    if 1 in lengths:
+        single = wanted.where("words = 1").select(F.col("phrase").alias("token"))
+        hits = index.postings.join(single, "token", "left_semi")
+        found.append(hits.select("id", F.col("token").alias("phrase"), (F.col("weight") * F.size("at")).alias("f")))
+    longer = [n for n in lengths if n > 1]
+    if longer:
+        runs = wanted.where("words > 1")
+        tokens = runs.select(F.explode(F.split("phrase", " ")).alias("token")).distinct()
+        held = index.postings.join(tokens, "token", "left_semi").repartition("id", "cell").select("id", "cell", "weight", "token", F.explode("at").alias("pos"))
+        order = Window.partitionBy("id", "cell").orderBy("pos")
+        after = [F.lead("token", k).over(order).alias(f"t{k}") for k in range(1, longer[-1])]
+        ends = [F.lead("pos", n - 1).over(order).alias(f"p{n}") for n in longer]
+        read = held.select("id", "weight", "pos", F.col("token").alias("t0"), *after, *ends)
+        each = [F.when(F.col(f"p{n}") == F.col("pos") + (n - 1), F.concat_ws(" ", *(f"t{k}" for k in range(n)))) for n in longer]
+        said = read.select("id", "weight", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("phrase"))
+        found.append(said.join(runs.select("phrase"), "phrase", "left_semi").select("id", "phrase", F.col("weight").alias("f")))
+    if not found:
         return index.postings.select("id", F.col("token").alias("phrase"), F.col("weight").alias("f")).limit(0)
-    return found.groupBy("id", "phrase").agg(F.sum("f").alias("f"))
+    return functools.reduce(DataFrame.unionByName, found).groupBy("id", "phrase").agg(F.sum("f").alias("f"))
 
 
 def bm25(index: LexicalIndex, phrases: DataFrame, documents: DataFrame | None = None) -> DataFrame:

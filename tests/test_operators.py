@@ -237,3 +237,43 @@ def test_communities_of_a_long_chain(spark):
     assert dict(rows(graph.communities(links, docs), "document_id", "community_id")) == {i: first[label[i]] for i in range(n)}
     parts = connected_parts(graph.community_edges(links, docs))
     assert parts.count() == n and parts.where("part <> 0").count() == 0
+
+
+def test_wide_phrases_meet_few_rows(spark, monkeypatch):
+    """A name that many pages bear and all chunks hold is dropped before pages meet chunks; narrow ones follow the definition."""
+    import random
+
+    monkeypatch.setattr(graph, "MAX_MENTION_ROWS", 6)
+    monkeypatch.setattr(graph, "MAX_MENTION_DOCS", 3)
+    r = random.Random(5)
+    owner = {i: i // r.choice((1, 3, 5)) for i in range(60)}
+    found = {(i, p) for p, share in (("all", 1), ("half", 0.5), ("some", 0.1), ("few", 0.05)) for i in range(60) if r.random() < share} | {(i, "own") for i in range(20)}
+    owner |= {i: 7 if i < 12 else 8 for i in range(20)}
+    keys = {(d, p) for d in (0, 1, 2, 7, 8, 11, 30) for p in ("all", "half", "some", "few", "own")}
+    want = set()
+    for d, p in keys:
+        first = sorted(i for i, q in found if q == p and owner[i] != d)[:6]
+        if len({owner[i] for i in first}) <= 3:
+            want |= {(i, d) for i in first}
+    frame = lambda data, schema: spark.createDataFrame(sorted(data), schema)
+    out = graph.mentions(frame(found, "id long, phrase string"), frame(keys, "document_id long, phrase string"), frame(owner.items(), "id long, owner_id long"))
+    assert set(rows(out, "chunk_id", "document_id")) == want and (12, 7) in want
+
+    met = []
+    monkeypatch.setattr(graph, "materialised", lambda df, name: met.append((name, df.count())) or df)
+    many = spark.range(500).select("id", F.lit("all").alias("phrase"))
+    out = graph.mentions(many, many.withColumnRenamed("id", "document_id"), many.select("id", F.col("id").alias("owner_id")))
+    assert out.count() == 0 and dict(met)["met"] == 0
+
+
+def test_phrases_of_one_first_word(spark):
+    """Names that begin alike read each row once: the joins' rows don't grow with names times rows."""
+    n = 300
+    df = spark.range(n).select("id", F.concat(F.lit("see doc "), F.col("id").cast("string"), F.lit(" doc now or doc "), ((F.col("id") * 7) % n).cast("string")).alias("text"))
+    index = lexical.build_index(df, "id", {"text": 1.0})
+    phrases = spark.range(n).select(F.concat(F.lit("doc "), F.col("id").cast("string")).alias("phrase"), F.lit(2).alias("words"))
+    out = lexical.occurrences(index, phrases)
+    want = {(i, f"doc {k}"): 1.0 + (i == i * 7 % n) for i in range(n) for k in (i, i * 7 % n)}
+    assert {(r["id"], r["phrase"]): r["f"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner" not in plan and plan.count("LeftSemi") == 2
