@@ -230,7 +230,9 @@ def related_pages(seeds: DataFrame, links: DataFrame, mention: DataFrame, chunk_
     s = seeds.select(F.col("document_id").alias("seed"))
     resolved = links.where("target is not null")
     group = community.join(s, community["document_id"] == s["seed"]).select("seed", "community_id")
-    same = group.join(community, "community_id").where("document_id <> seed")
+    # the first 201 of a community hold the first 200 beside any seed, so seeds don't meet whole communities
+    lowest = community.withColumn("turn", F.row_number().over(Window.partitionBy("community_id").orderBy("document_id"))).where("turn <= 201").drop("turn")
+    same = group.join(lowest, "community_id").where("document_id <> seed")
     order = Window.partitionBy("seed").orderBy("document_id")
     same = same.withColumn("turn", F.row_number().over(order)).where("turn <= 200")
     ways = [

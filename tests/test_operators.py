@@ -277,3 +277,14 @@ def test_phrases_of_one_first_word(spark):
     assert {(r["id"], r["phrase"]): r["f"] for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Inner" not in plan and plan.count("LeftSemi") == 2
+
+
+def test_related_meet_the_first_of_a_community(spark):
+    """A community's first 201 pages stand for it; the rest never meets its seeds."""
+    community = spark.range(500).select(F.col("id").alias("document_id"), F.lit(0).alias("community_id"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    seeds = community.where("document_id in (3, 450)")
+    out = graph.related_pages(seeds, none("source long, target long"), none("chunk_id long, document_id long"), none("id long, owner_id long"), community, 300)
+    got = rows(out, "seed", "document_id")
+    assert got == [(3, i) for i in range(201) if i != 3] + [(450, i) for i in range(200)]
+    assert "turn#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "<= 201" in plan
