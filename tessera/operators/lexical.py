@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import query_terms, tokens
+from tessera.sources.working import materialised
 
 K1, B = 1.2, 0.75
 #: Weights of an index row's columns.
@@ -95,24 +96,58 @@ def occurrences(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found).groupBy("id", "phrase").agg(F.sum("f").alias("f"))
 
 
-def bm25(index: LexicalIndex, phrases: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score): the sum over a query's phrases; statistics are of the whole index.
+def _alike(phrases: DataFrame) -> DataFrame:
+    """(query_id, ask): queries of the same phrases have one ask, the lowest query_id among them. Written, so that its size is known."""
+    sets = phrases.groupBy("query_id").agg(F.sort_array(F.collect_set("phrase")).alias("said"))
+    first = sets.groupBy("said").agg(F.min("query_id").alias("ask"))
+    return materialised(sets.join(first, "said").select("query_id", "ask"), "alike")
 
-    documents: ids to which results are restricted, for all queries, or for each if it has a query_id (a
-    semi-join after the statistics).
-    """
-    found = occurrences(index, phrases)
+
+def _scores(index: LexicalIndex, phrases: DataFrame, alike: DataFrame, documents: DataFrame | None) -> DataFrame:
+    """(ask, id, score): each ask is scored once, whatever the number of its queries. documents: (id), or (ask, id)."""
+    asks = phrases.select("query_id", "phrase").join(alike.where("query_id = ask"), "query_id").select("ask", "phrase").distinct()
+    # both the phrases' holders and the parts read it
+    found = materialised(occurrences(index, phrases), "occurrences")
     holders = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = holders.crossJoin(F.broadcast(index.stats())).select("phrase", "mean_length", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
-    if documents is not None and "query_id" not in documents.columns:
-        found = found.join(documents.select(F.col(documents.columns[0]).alias("id")), "id", "left_semi")
+    if documents is not None:
+        found = found.join(documents.select("id").distinct(), "id", "left_semi")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = found.join(idf, "phrase").join(index.lengths, "id").select("id", "phrase", part.alias("part"))
-    asked = scored.join(phrases.select("query_id", "phrase"), "phrase")
-    if documents is not None and "query_id" in documents.columns:
-        asked = asked.join(documents.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    return asked.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    asked = scored.join(asks, "phrase")
+    if documents is not None and "ask" in documents.columns:
+        asked = asked.join(documents.select("ask", "id").distinct(), ["ask", "id"], "left_semi")
+    return asked.groupBy("ask", "id").agg(F.sum("part").alias("score"))
+
+
+def bm25(index: LexicalIndex, phrases: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score): the sum over a query's phrases; statistics are of the whole index.
+
+    documents: ids to which results are restricted, for all queries, or for each if it has a query_id (a
+    semi-join after the statistics). Queries of the same phrases are scored once; their rows are made last, by a join that
+    shuffles nothing while the queries fit a broadcast.
+    """
+    alike = _alike(phrases)
+    if documents is None or "query_id" not in documents.columns:
+        only = None if documents is None else documents.select(F.col(documents.columns[0]).alias("id"))
+        spark = alike.sparkSession
+        # a number that stays: a few MB of scores become all their queries' rows
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        return _scores(index, phrases, alike, only).repartition(parts, "id").join(alike, "ask").select("query_id", "id", "score")
+    own = documents.select("query_id", "id").distinct().join(alike, "query_id")
+    return _scores(index, phrases, alike, own).join(own, ["ask", "id"]).select("query_id", "id", "score")
+
+
+def best(index: LexicalIndex, phrases: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k best of each query by `bm25`, rounded to 9 places, ties by id.
+
+    Queries of the same phrases share their k, so all matches are ranked once an ask, not once a query. documents: ids, for all queries.
+    """
+    alike = _alike(phrases)
+    only = None if documents is None else documents.select(F.col(documents.columns[0]).alias("id"))
+    first = top_k(_scores(index, phrases, alike, only), k, F.round("score", 9).desc(), "ask")
+    return first.join(alike, "ask").select("query_id", "id", "score", "rank")
 
 
 def top_k(scored: DataFrame, k: int, by: Column, group: str = "query_id", key: str = "id") -> DataFrame:

@@ -288,3 +288,21 @@ def test_related_meet_the_first_of_a_community(spark):
     got = rows(out, "seed", "document_id")
     assert got == [(3, i) for i in range(201) if i != 3] + [(450, i) for i in range(200)]
     assert "turn#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "<= 201" in plan
+
+
+def test_alike_queries_are_scored_once(spark, monkeypatch):
+    """Queries of the same phrases share one ranking, with the same rows for each."""
+    df = spark.createDataFrame([(i, "", f"red fox {'den ' * (i % 3)}") for i in range(20)], "id long, title string, text string")
+    q = spark.createDataFrame([(i, "red den" if i % 2 else "Den red den") for i in range(30)] + [(30, "fox")], "query_id long, query string")
+    index = lexical.build_index(df, "id")
+    phrases = lexical.query_phrases(q)
+    every = lexical.bm25(index, phrases)
+    assert every.count() == 31 * 20
+    want = rows(lexical.top_k(every, 4, F.round("score", 9).desc()), "query_id", "rank", "id")
+    asked = []
+    monkeypatch.setattr(lexical, "_scores", lambda *a, real=lexical._scores: asked.append(real(*a)) or asked[-1])
+    assert rows(lexical.best(index, phrases, 4), "query_id", "rank", "id") == want
+    assert asked[0].count() == 2 * 20
+    each = spark.createDataFrame([(i, i % 20) for i in range(31)], "query_id long, id long")
+    assert rows(lexical.bm25(index, phrases, each), "query_id", "id") == [(i, i % 20) for i in range(31)]
+    assert rows(lexical.best(index, phrases, 4, df.where("id < 2").select("id")).where("query_id = 1"), "id") == [(0,), (1,)]
