@@ -12,7 +12,7 @@ from tessera.functions.paths import in_profile, updated_between
 from tessera.operators.dense import knn
 from tessera.operators.fusion import diversify, reciprocal_rank_fusion
 from tessera.operators.graph import neighbours
-from tessera.operators.lexical import WEIGHTS, LexicalIndex, bm25, build_index, query_phrases, top_k
+from tessera.operators.lexical import WEIGHTS, LexicalIndex, best, bm25, build_index, query_phrases, top_k
 from tessera.operators.policy import authority_policy, conflict_labels, recency
 from tessera.operators.rerank import Reranker, rerank
 from tessera.settings import Settings
@@ -52,7 +52,7 @@ def dense_channel(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k:
 
 def lexical_channel(index: LexicalIndex, queries: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): statistics of the whole index, results of the allowed rows."""
-    return top_k(bm25(index, query_phrases(queries, index.analyse), allowed), k, F.round("score", 9).desc())
+    return best(index, query_phrases(queries, index.analyse), k, allowed)
 
 
 def graph_channel(fused: DataFrame, rows: DataFrame, links: DataFrame, index: LexicalIndex, queries: DataFrame, k: int, s: Settings = Settings()) -> DataFrame:
