@@ -60,7 +60,9 @@ def graph_channel(fused: DataFrame, rows: DataFrame, links: DataFrame, index: Le
     first = fused.where("rank <= 15").join(rows.select("id", "document_id"), "id").groupBy("query_id", "document_id").agg(F.min("rank").alias("rank"))
     seeds = top_k(first, s.graph_seeds, F.col("rank"), key="document_id").select("query_id", "document_id")
     near = neighbours(links, seeds, 1, s.graph_neighbours).select("query_id", "document_id")
-    return top_k(bm25(index, query_phrases(queries, index.analyse), near.join(rows.select("id", "document_id"), "document_id")), k, F.round("score", 9).desc())
+    # a few rows a query, read by the scores and by what they are dealt to
+    near = materialised(near.join(rows.select("id", "document_id"), "document_id").select("query_id", "id"), "near")
+    return top_k(bm25(index, query_phrases(queries, index.analyse), near), k, F.round("score", 9).desc())
 
 
 def search(
