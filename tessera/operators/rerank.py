@@ -28,13 +28,8 @@ class OverlapReranker:
         return [len(asked & set(p.lower().split())) / max(1, len(asked)) - 1e-6 * len(p) for p in passages]
 
 
-def rerank(ranked: DataFrame, reranker: Reranker, limit: int) -> DataFrame:
-    """ranked (query_id, query, rank, text, ...) with rerank_score: of each query the first max(limit, 1) are rescored and ordered by
-    score, ties by old rank; the rest follow as they were, with a null score.
-
-    Only heads reach Python, in Arrow batches grouped by query within a batch; no query's candidates have to meet in one task.
-    """
-    head = max(limit, 1)
+def _scored(front: DataFrame, reranker: Reranker) -> DataFrame:
+    """Heads (query_id, query, rank, text, ...) in order of their score, ties by old rank."""
 
     @F.pandas_udf("double")
     def scores(query: pd.Series, text: pd.Series) -> pd.Series:
@@ -43,8 +38,19 @@ def rerank(ranked: DataFrame, reranker: Reranker, limit: int) -> DataFrame:
             out.loc[at] = [float(x) for x in reranker.score(q, text.loc[at].fillna("").tolist())]
         return out
 
-    front = ranked.where(F.col("rank") <= head).withColumn("rerank_score", scores(F.col("query"), F.coalesce("text", F.lit(""))))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
-    front = front.withColumn("rank", F.row_number().over(order))
+    return front.withColumn("rerank_score", scores(F.col("query"), F.coalesce("text", F.lit("")))).withColumn("rank", F.row_number().over(order))
+
+
+def rerank(ranked: DataFrame, reranker: Reranker, limit: int, texts: DataFrame | None = None) -> DataFrame:
+    """ranked (query_id, query, rank, text, ...) with rerank_score: of each query the first max(limit, 1) are rescored and ordered by
+    score, ties by old rank; the rest follow as they were, with a null score.
+
+    Only heads reach Python, in Arrow batches grouped by query within a batch; no query's candidates have to meet in one task.
+    With texts (id, text) ranked has an id and no text: texts are joined to the heads only, and left out of the result.
+    """
+    head = max(limit, 1)
+    front = ranked.where(F.col("rank") <= head)
+    front = _scored(front, reranker) if texts is None else _scored(front.join(texts.select("id", "text"), "id"), reranker).drop("text")
     rest = ranked.where(F.col("rank") > head).withColumn("rerank_score", F.lit(None).cast("double"))
     return front.unionByName(rest)

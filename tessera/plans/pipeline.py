@@ -110,9 +110,12 @@ def search(
         elif name != "graph":
             fused = fused.withColumn(f"{name}_rank", F.lit(None).cast("int")).withColumn(names[name], F.lit(None).cast("double"))
     told = asked.select("query_id", "query", intent(F.col("query")).alias("intent"))
-    cands = fused.join(rows.select("id", *META, *(["text"] if reranker else [])), "id").join(told, "query_id")
     if reranker is not None:
-        cands = rerank(cands, reranker, rerank_limit).drop("text")
+        # the head and the rest both read it
+        fused = materialised(fused, "fused")
+    cands = fused.join(rows.select("id", *META), "id").join(told, "query_id")
+    if reranker is not None:
+        cands = rerank(cands, reranker, rerank_limit, rows)
     ranked = authority_policy(cands.drop("query").withColumn("profile", F.lit(scope.profile)))
     if recent:
         ranked = recency(ranked)
