@@ -14,7 +14,7 @@ from tessera.operators import chunking, context, dense, fusion, lexical, policy
 from tessera.operators.rerank import OverlapReranker, rerank
 from tessera.plans import pipeline
 from tessera.plans.views import QUERY_STEP, body, table, vault
-from tessera.sources.working import once, working_path
+from tessera.sources.working import materialised, once, working_path
 
 # ---------------------------------------------------------------- filters and joins
 
@@ -95,7 +95,7 @@ def bm25_stemmed(spark, sf_dir):
     """As bm25_search, with index and queries reduced to stems, the ten best of each query."""
     make = lambda: lexical.build_index(rows_of(vault(spark, sf_dir)), "id", {"text": 1.0, "title": 4.0}, stemmed, working_path(spark, "stemmed"))
     index = once(spark, sf_dir, "stemmed", make)
-    return lexical.top_k(lexical.bm25(index, lexical.query_phrases(questions(spark, sf_dir), stemmed)), 10, F.round("score", 9).desc())
+    return lexical.best(index, lexical.query_phrases(questions(spark, sf_dir), stemmed), 10)
 
 
 @query(f"WITH {VAULT}, {KNN}, {BM25}, {CHANNELS} SELECT query_id::BIGINT AS query_id, id, score, rank::INT AS rank FROM lx")
@@ -247,7 +247,7 @@ SELECT owner::BIGINT AS query_id, id, score, best_rank::INT AS best_rank, parts,
   row_number() OVER (PARTITION BY owner ORDER BY round(score, 12) DESC, best_rank, id)::INT AS rank FROM f""")
 def multiquery_fuse(spark, sf_dir):
     index = index_of(spark, sf_dir)
-    return pipeline.fuse_parts(asked(spark), lambda q: lexical.top_k(lexical.bm25(index, lexical.query_phrases(q)), 20, F.round("score", 9).desc()))
+    return pipeline.fuse_parts(asked(spark), lambda q: lexical.best(index, lexical.query_phrases(q), 20))
 
 
 @query(None)
