@@ -260,6 +260,7 @@ def context_block(spark, sf_dir):
     """The context of each query from all chunks of the documents that the pipeline found."""
     docs = vault(spark, sf_dir)
     found = _search(spark, sf_dir).select("query_id", "rank", F.col("id").alias("document_id"), "authority_class")
+    found = materialised(found, "found")
     wanted = docs.join(found.select("document_id").distinct(), "document_id", "left_semi")
     chunks = chunking.chunk_documents(wanted.withColumn("body", body()))
     rows = found.join(chunks, "document_id").join(docs.select("document_id", "path", "title", "source_kind", "page_role"), "document_id")
