@@ -64,6 +64,51 @@ SELECT r.doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256
 FROM raw r JOIN kept k ON r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.text = k.text
 """
 
+LINE_DEDUP_ALL = r"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+flat AS (SELECT doc_id, text, generate_subscripts(lines, 1) - 1 AS pos, unnest(lines) AS l FROM raw),
+plain AS (SELECT doc_id, text, pos, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM flat),
+masked AS (SELECT doc_id, text, pos, regexp_replace(l, '[^\x20]*[0-9][^\x20]*', '<*>', 'g') AS l FROM plain WHERE l <> ''),
+t AS (SELECT *, len(string_split(l, ' ')) AS n, array_to_string(string_split(l, ' ')[1:3], ' ') AS lead FROM masked),
+leaves AS (SELECT n, lead FROM t GROUP BY n, lead HAVING count(DISTINCT text) >= CASE WHEN n >= 50 THEN 2 ELSE 10 END),
+leaf_lines AS (SELECT n, lead, l, count(DISTINCT text) AS texts FROM t JOIN leaves USING (n, lead) GROUP BY n, lead, l),
+tok AS (SELECT n, lead, l, texts, generate_subscripts(string_split(l, ' '), 1) AS ix, unnest(string_split(l, ' ')) AS token
+        FROM leaf_lines),
+weight AS (SELECT n, lead, ix, token, sum(texts) AS w FROM tok GROUP BY n, lead, ix, token),
+modal AS (SELECT n, lead, ix, token AS modal FROM weight
+          QUALIFY row_number() OVER (PARTITION BY n, lead, ix ORDER BY w DESC, token DESC) = 1),
+first_taken AS (SELECT l, tok.n AS n FROM tok JOIN modal USING (n, lead, ix) GROUP BY tok.n, lead, l
+                HAVING avg(CASE WHEN token = modal THEN 1 ELSE 0 END) >= 0.7),
+tok_b AS (SELECT tok.* FROM tok ANTI JOIN first_taken f ON tok.l = f.l AND tok.n = f.n),
+weight_b AS (SELECT n, lead, ix, token, sum(texts) AS w FROM tok_b GROUP BY n, lead, ix, token),
+modal_b AS (SELECT n, lead, ix, token AS modal FROM weight_b
+            QUALIFY row_number() OVER (PARTITION BY n, lead, ix ORDER BY w DESC, token DESC) = 1),
+second_taken AS (SELECT l, tok_b.n AS n FROM tok_b JOIN modal_b USING (n, lead, ix) GROUP BY tok_b.n, lead, l
+                 HAVING avg(CASE WHEN token = modal THEN 1 ELSE 0 END) >= 0.7),
+taken AS (SELECT l, n, 1 AS k FROM first_taken UNION ALL SELECT l, n, 2 AS k FROM second_taken),
+others AS (SELECT leaf_lines.*, string_split(l, ' ') AS w FROM leaf_lines ANTI JOIN taken USING (l, n)),
+heads AS (SELECT n, lead, list_reduce(list([w] ORDER BY texts DESC, l DESC),
+            lambda found, x: CASE WHEN len(list_filter(found, lambda h: len(list_filter(list_zip(h, x[1]), lambda z: z[1] = z[2])) / n >= 0.7)) > 0
+                                  THEN found ELSE list_concat(found, x) END) AS heads
+          FROM others GROUP BY n, lead),
+led AS (SELECT l, n, array_to_string(list_filter(heads, lambda h: len(list_filter(list_zip(h, w), lambda z: z[1] = z[2])) / n >= 0.7)[1], ' ') AS head
+        FROM others JOIN heads USING (n, lead)),
+placed AS (SELECT t.*, CASE WHEN k.l IS NULL THEN 'l ' || coalesce(led.head, t.l) ELSE 'n ' || k || ' ' || t.n || ' ' || lead END AS template
+           FROM t LEFT JOIN taken k ON t.l = k.l AND t.n = k.n LEFT JOIN led ON t.l = led.l AND t.n = led.n),
+gone AS (SELECT template, count(DISTINCT text) AS texts, min(doc_id) AS first_id FROM placed GROUP BY template, n
+         HAVING count(DISTINCT text) >= CASE WHEN n >= 50 THEN 2 ELSE 10 END),
+dropped AS (SELECT DISTINCT doc_id, text, pos FROM placed JOIN gone USING (template)
+            WHERE texts >= 10 OR doc_id IS DISTINCT FROM first_id),
+marked AS (SELECT f.doc_id, f.text, f.pos, f.l, d.pos IS NOT NULL AS gone
+           FROM (SELECT DISTINCT * FROM flat) f LEFT JOIN dropped d
+             ON f.doc_id IS NOT DISTINCT FROM d.doc_id AND f.text = d.text AND f.pos = d.pos),
+kept AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept_text
+         FROM marked GROUP BY doc_id, text)
+SELECT r.doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256
+FROM raw r JOIN kept k ON r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.text = k.text
+"""
+
 REACH = """
 edges AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
 reach(node, seen) AS (SELECT DISTINCT x, x FROM edges UNION SELECT r.node, e.y FROM reach r JOIN edges e ON e.x = r.seen),
@@ -101,4 +146,5 @@ SQL = {
     "op1_url_filter": URL_FILTER,
     "op7_exact_dedup": EXACT_DEDUP,
     "op8_line_dedup": LINE_DEDUP,
+    "op8_line_dedup_all": LINE_DEDUP_ALL,
 }

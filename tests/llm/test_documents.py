@@ -211,6 +211,72 @@ def test_line_templates_by_shuffle(spark, monkeypatch):
     assert Counter(tuple(r) for r in drop_templates(df).collect()) == want
 
 
+def brute_heads(rows):
+    """doc_id, kept text of each row by the definition of drop_templates with `rest`, for distinct ids and lines as they are compared."""
+    need = lambda n: 2 if n >= 50 else 10
+    leaves = defaultdict(lambda: defaultdict(set))
+    for _, t in rows:
+        for m in (x.split(" ") for x in t.split("\n")):
+            leaves[len(m), *m[:3]][" ".join(m)].add(t)
+    key = {}
+    for leaf, left in leaves.items():
+        if len(set().union(*left.values())) < need(leaf[0]):
+            continue
+        agree = lambda a, b, n=leaf[0]: sum(x == y for x, y in zip(a, b, strict=True)) / n >= 0.7
+        for k in range(2):
+            votes = [Counter() for _ in range(leaf[0])]
+            for m, texts in left.items():
+                for at, token in enumerate(m.split(" ")):
+                    votes[at][token] += len(texts)
+            modal = [max(v, key=lambda x, v=v: (v[x], x.encode()), default="") for v in votes]
+            key |= {m: (leaf, k) for m in left if agree(m.split(" "), modal)}
+            left = {m: texts for m, texts in left.items() if m not in key}
+        heads = []
+        for m in sorted(left, key=lambda x, left=left: (len(left[x]), x.encode()), reverse=True):
+            key[m] = next((h for h in heads if agree(h.split(" "), m.split(" "))), m)
+            heads += [m] * (key[m] == m)
+    held, first = defaultdict(set), {}
+    for i, t in rows:
+        for m in t.split("\n"):
+            held[key.get(m, m)].add(t)
+            first[key.get(m, m)] = min(i, first.get(key.get(m, m), i))
+    stays = lambda i, m, k: not (len(held[k]) >= 10 or (len(held[k]) >= need(len(m.split(" "))) and i != first[k]))
+    return Counter((i, "\n".join(m for m in t.split("\n") if stays(i, m, key.get(m, m)))) for i, t in rows)
+
+
+def test_line_templates_beyond_two(spark, monkeypatch):
+    """Lines that take neither template of their leaf gather around heads: a third, fourth and fifth template drop too."""
+    import random
+
+    from tessera.llm import line_dedup
+
+    r = random.Random(11)
+    ends = ["of the old printed book now", "in some new online shop today", "at our next weekly club meeting", "from his last great long speech", "by their only true local dealer"]
+    names = [a + b for a in "abcd" for b in "xyz"]
+    rows = [(20 * k + i, f"own {chr(97 + k)} {name}\nsee also page {name} {end}") for k, end in enumerate(ends) for i, name in enumerate(names)]
+    # nine texts are too few; a mode that mixes three templates agrees with no line
+    rows += [(200 + i, f"see also page {names[i]} with no more than nine texts") for i in range(9)]
+    mixed = ["a a a a x x x x", "b b b b x x y y", "c c c c z z y y"]
+    rows += [(300 + 20 * k + i, f"one two three {end} {name}") for k, end in enumerate(mixed) for i, name in enumerate(names)]
+    # passages of one length and lead, in pairs; and lines that agree by chance
+    words = "ka lo mi tu ran sel".split()
+    for k in range(6):
+        passage = " ".join(["in this note", *(r.choice(words) for _ in range(57))])
+        rows += [(400 + k, passage), (410 + k, f"again {chr(97 + k)}\n{passage}")]
+    rows += [(500 + i, "\n".join("to be or " + " ".join(r.choice("abc") for _ in range(5)) for _ in range(r.randint(1, 5)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    results = lambda **more: Counter((x["doc_id"], x["kept_text"]) for x in drop_templates(df, **more).collect())
+    want = brute_heads(rows)
+    assert results(rest=True) == want and results() == brute_templates(rows) != want
+    kept = dict(want.keys())
+    assert all(kept[20 * k + i] == f"own {chr(97 + k)} {names[i]}" for k in range(5) for i in range(12)) and all(kept[200 + i] for i in range(9))
+    assert all(kept[300 + 20 * k + i] == "" for k in range(3) for i in range(12)) and all(kept[400 + k] and kept[410 + k] == f"again {chr(97 + k)}" for k in range(6))
+    for name, value in (("HEADS", 3), ("HEAD_BYTES", 300), ("SHARE", 1), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert results(rest=True) == want
+    assert drop_templates(df.limit(0), rest=True).count() == 0
+
+
 def test_edited_counts(docs, rows):
     extra = [(500, "mail me at a.b@c.example.org now, call 0123456789  or  98765432\nsee x@y.zz."), (501, "no edits")]
     both = docs.sparkSession.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
