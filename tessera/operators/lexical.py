@@ -20,15 +20,29 @@ Analyse = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (token, id, cell, weight, at): where a token stands in a cell of a row; lengths (id, length) of all rows."""
+    """postings (token, id, cell, weight, at): where a token stands in a cell of a row; lengths (id, length) of all rows.
+
+    An index that isn't written has places (id, cell, weight, pos, token), from which its postings are gathered.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     analyse: Analyse = tokens
+    places: DataFrame | None = None
 
     def of_cells(self, *cells: int) -> LexicalIndex:
         """The index of some cells only, by their place in the weights; lengths stay those of whole rows."""
-        return LexicalIndex(self.postings.where(F.col("cell").isin(*cells)), self.lengths, self.analyse)
+        of = F.col("cell").isin(*cells)
+        return LexicalIndex(self.postings.where(of), self.lengths, self.analyse, None if self.places is None else self.places.where(of))
+
+    def held(self, phrases: DataFrame) -> LexicalIndex:
+        """The index of the phrases' tokens only, written: all rows are read once, and of them only these tokens are shuffled."""
+        own = materialised(phrases.select(F.explode(F.split("phrase", " ")).alias("token")).distinct(), "tokens")
+        if self.places is None:
+            few = self.postings.join(own, "token", "left_semi")
+        else:
+            few = gathered(self.places.join(own, "token", "left_semi"))
+        return LexicalIndex(materialised(few, "held"), self.lengths, self.analyse)
 
     def stats(self) -> DataFrame:
         """One row: n_rows and mean_length."""
@@ -39,7 +53,8 @@ def build_index(rows: DataFrame, id_col: str, weights: Mapping[str, float] = WEI
     """The index of rows. Cells are columns, so phrases never span them. Texts are analysed once.
 
     A row's tokens are gathered to positions before they are shuffled. With a path the tables are written: postings in
-    ranges of (token, id), so that a hot token is split and a query's tokens read few row groups.
+    ranges of (token, id), so that a hot token is split and a query's tokens read few row groups. Writing them takes several times the
+    disk of the texts; a batch of queries that is known at once is better asked of an index without a path, which reads the texts.
     """
     cells = [F.struct(F.lit(n).alias("cell"), F.lit(float(w)).alias("weight"), analyse(F.col(c)).alias("t")) for n, (c, w) in enumerate(weights.items()) if c in rows.columns]
     analysed = rows.select(F.col(id_col).alias("id"), F.array(*cells).alias("cells"))
@@ -47,10 +62,14 @@ def build_index(rows: DataFrame, id_col: str, weights: Mapping[str, float] = WEI
         analysed = _kept(analysed, f"{path}/analysed")
     lengths = analysed.select("id", F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.size(c["t"])).alias("length"))
     each = analysed.select("id", F.explode("cells").alias("c")).select("id", "c.cell", "c.weight", F.posexplode("c.t").alias("pos", "token"))
-    postings = each.groupBy("token", "id", "cell", "weight").agg(F.collect_list("pos").alias("at"))
-    if path is not None:
-        postings = _kept(postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), f"{path}/postings")
-    return LexicalIndex(postings, lengths, analyse)
+    if path is None:
+        return LexicalIndex(gathered(each), lengths, analyse, each)
+    return LexicalIndex(_kept(gathered(each).repartitionByRange("token", "id").sortWithinPartitions("token", "id"), f"{path}/postings"), lengths, analyse)
+
+
+def gathered(places: DataFrame) -> DataFrame:
+    """Postings of places (id, cell, weight, pos, token)."""
+    return places.groupBy("token", "id", "cell", "weight").agg(F.collect_list("pos").alias("at"))
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -107,15 +126,16 @@ def _scores(index: LexicalIndex, phrases: DataFrame, alike: DataFrame, documents
     """(ask, id, score): each ask is scored once, whatever the number of its queries. documents: (id), or (ask, id)."""
     asks = phrases.select("query_id", "phrase").join(alike.where("query_id = ask"), "query_id").select("ask", "phrase").distinct()
     # both the phrases' holders and the parts read it
-    found = materialised(occurrences(index, phrases), "occurrences")
+    found = materialised(occurrences(index.held(phrases), phrases), "occurrences")
     holders = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = holders.crossJoin(F.broadcast(index.stats())).select("phrase", "mean_length", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
+    # written, so that its size is known: while it fits a broadcast, what was found is dealt by row only, never by phrase
+    said = materialised(asks.join(idf, "phrase"), "said")
     if documents is not None:
         found = found.join(documents.select("id").distinct(), "id", "left_semi")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = found.join(idf, "phrase").join(index.lengths, "id").select("id", "phrase", part.alias("part"))
-    asked = scored.join(asks, "phrase")
+    asked = found.join(index.lengths, "id").join(said, "phrase").select("ask", "id", part.alias("part"))
     if documents is not None and "ask" in documents.columns:
         asked = asked.join(documents.select("ask", "id").distinct(), ["ask", "id"], "left_semi")
     return asked.groupBy("ask", "id").agg(F.sum("part").alias("score"))
@@ -128,6 +148,7 @@ def bm25(index: LexicalIndex, phrases: DataFrame, documents: DataFrame | None =
     semi-join after the statistics). Queries of the same phrases are scored once; their rows are made last, by a join that
     shuffles nothing while the queries fit a broadcast.
     """
+    phrases = materialised(phrases, "phrases")
     alike = _alike(phrases)
     if documents is None or "query_id" not in documents.columns:
         only = None if documents is None else documents.select(F.col(documents.columns[0]).alias("id"))
@@ -144,6 +165,7 @@ def best(index: LexicalIndex, phrases: DataFrame, k: int, documents: DataFrame |
 
     Queries of the same phrases share their k, so all matches are ranked once an ask, not once a query. documents: ids, for all queries.
     """
+    phrases = materialised(phrases, "phrases")
     alike = _alike(phrases)
     only = None if documents is None else documents.select(F.col(documents.columns[0]).alias("id"))
     first = top_k(_scores(index, phrases, alike, only), k, F.round("score", 9).desc(), "ask")

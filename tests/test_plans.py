@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import lexical
 from tessera.plans import evaluation, gate, projection
 from tessera.sources.vault import Projection, changes, needs_reembed, parse, reuse_chunks, scan, split_frontmatter
 from tessera.streaming.watch import Watcher, bursts, may_start, relevant_events, watch
@@ -131,3 +132,28 @@ def test_watcher_states(spark, tmp_path):
     with pytest.raises(Exception):
         bad._query.awaitTermination(120)
     assert bad.state == "failed" and "ZeroDivision" in bad.reason, bad.reason
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_searches_write_only_what_they_ask(spark, monkeypatch, tmp_path, name):
+    """A batch's search writes what rows hold of its own tokens, not an index of all of them."""
+    from tessera import catalog
+    from tessera.sources import working
+
+    (tmp_path / "in").symlink_to("/root/testdata/sf0.001")
+    monkeypatch.setattr(working, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    assert catalog.queries()[name](spark, str(tmp_path / "in")).count() > 0
+    written = sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*.parquet"))
+    assert written < (tmp_path / "in/documents.parquet").stat().st_size / 2
+
+
+def test_an_index_of_some_tokens(spark, tmp_path):
+    """Of an index, written or not, a batch's phrases hold the postings of their own tokens in all rows."""
+    df = spark.createDataFrame([(i, f"red fox {i}", "fox den " * (i % 3)) for i in range(20)], "id long, title string, text string")
+    phrases = lexical.query_phrases(spark.createDataFrame([(0, "red-fox gone")], "query_id long, query string"))
+    for index in (lexical.build_index(df, "id"), lexical.build_index(df, "id", path=str(tmp_path / "ix"))):
+        held = index.held(phrases)
+        assert {r["token"] for r in held.postings.collect()} == {"red", "fox"}
+        assert held.of_cells(0).postings.count() == 13 and index.of_cells(0).held(phrases).postings.count() == 13
+        said = lambda ix: {(r["id"], r["phrase"], r["f"]) for r in lexical.occurrences(ix, phrases).collect()}
+        assert said(held) == said(index) and len(said(held)) == 20
