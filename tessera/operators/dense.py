@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block, which a task holds at a time, and rows that it compares with them at a time.
 QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Rows that make a part of their own, where there are more tasks than such parts.
+PART_ROWS = 16384
 SCHEMA = "query_id long, id long, distance double"
 
 
@@ -87,13 +89,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
     queries: (query_id, vector), a stated query set. Queries are dealt to blocks of about QUERY_BLOCK and rows to `parts`; each
     pair of a block and a part is one run in a task, which returns k rows per query, so nothing is
-    collected, and the last shuffle holds k rows per query and part. Every row is compared with every query. Rows of
+    collected, and the last shuffle holds k rows per query and part: few rows get few parts, about PART_ROWS each, but one for each core. Every row is compared with every query. Rows of
     another dimension than the queries' are an error of the caller; null vectors are left out, of queries too.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if parts is None:
+        cores = spark.sparkContext.defaultParallelism
+        parts = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PART_ROWS)))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", each(parts)).withColumn("side", F.lit(0))

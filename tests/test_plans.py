@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import lexical
+from tessera.operators import dense, lexical
 from tessera.plans import evaluation, gate, projection
 from tessera.sources.vault import Projection, changes, needs_reembed, parse, reuse_chunks, scan, split_frontmatter
 from tessera.streaming.watch import Watcher, bursts, may_start, relevant_events, watch
@@ -134,7 +134,7 @@ def test_watcher_states(spark, tmp_path):
     assert bad.state == "failed" and "ZeroDivision" in bad.reason, bad.reason
 
 
-@pytest.mark.parametrize("name", ["bm25_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "rrf_fuse"])
 def test_searches_write_only_what_they_ask(spark, monkeypatch, tmp_path, name):
     """A batch's search writes what rows hold of its own tokens, not an index of all of them."""
     from tessera import catalog
@@ -157,3 +157,16 @@ def test_an_index_of_some_tokens(spark, tmp_path):
         assert held.of_cells(0).postings.count() == 13 and index.of_cells(0).held(phrases).postings.count() == 13
         said = lambda ix: {(r["id"], r["phrase"], r["f"]) for r in lexical.occurrences(ix, phrases).collect()}
         assert said(held) == said(index) and len(said(held)) == 20
+
+
+def test_few_vectors_get_few_parts(spark):
+    """The last shuffle holds k rows per query and part, so parts follow the rows, not the session's shuffle partitions."""
+    v = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = dense.knn(v, q, 2)
+        assert "[block#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "], 64" not in plan
+        assert {(r["query_id"], r["id"]) for r in out.collect()} == {(0, 0), (0, 1), (100, 100), (100, 99), (200, 200), (200, 199)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
