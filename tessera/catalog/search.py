@@ -16,6 +16,9 @@ from tessera.plans import pipeline
 from tessera.plans.views import QUERY_STEP, body, table, vault
 from tessera.sources.working import materialised, once, working_path
 
+#: Ids that a broadcast holds at most; beyond it the planner joins by shuffle.
+BROADCAST_IDS = 1_000_000
+
 # ---------------------------------------------------------------- filters and joins
 
 
@@ -261,9 +264,13 @@ def context_block(spark, sf_dir):
     docs = vault(spark, sf_dir)
     found = _search(spark, sf_dir).select("query_id", "rank", F.col("id").alias("document_id"), "authority_class")
     found = materialised(found, "found")
-    wanted = docs.join(found.select("document_id").distinct(), "document_id", "left_semi")
+    ids = materialised(found.select("document_id").distinct(), "ids")
+    # texts stay where they are read while the ids of those wanted fit a broadcast
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    wanted = docs.join(ids, "document_id", "left_semi")
     chunks = chunking.chunk_documents(wanted.withColumn("body", body()))
-    rows = found.join(chunks, "document_id").join(docs.select("document_id", "path", "title", "source_kind", "page_role"), "document_id")
+    meta = wanted.select("document_id", "path", "title", "source_kind", "page_role")
+    rows = found.join(meta, "document_id").join(chunks, "document_id")
     order = Window.partitionBy("query_id").orderBy("rank", "position")
     rows = rows.withColumn("chunk_id", F.col("document_id") * 1000 + F.col("position")).withColumn("rank", F.row_number().over(order))
     return context.build_context(rows)

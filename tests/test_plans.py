@@ -170,3 +170,20 @@ def test_few_vectors_get_few_parts(spark):
         assert {(r["query_id"], r["id"]) for r in out.collect()} == {(0, 0), (0, 1), (100, 100), (100, 99), (200, 200), (200, 199)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_context_leaves_texts_where_they_are(spark, tmp_path):
+    """Documents that no query found are left out before any shuffle of texts, however small a broadcast the planner would choose."""
+    from tessera import catalog
+
+    (tmp_path / "in").symlink_to("/root/testdata/sf0.001")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.queries()["context_block"](spark, str(tmp_path / "in"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin [document_id") >= 1 and "SortMergeJoin [document_id" in plan
+        assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftSemi" in x]
+        assert out.count() == len({r["query_id"] for r in out.collect()}) > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
